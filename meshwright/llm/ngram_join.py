@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
 from ..operators.storage import discard, materialize
@@ -40,6 +40,8 @@ from .wordhash import join_hashes, shingle_sets
 GROUPS, BIN, FANOUT = 128, 2048, 16
 #: Cells of the count sketch (uint32 each) and rows in which it travels.
 SKETCH, PIECES = 1 << 18, 64
+#: Occurrences in a cell, as a multiple of the mean and a constant, from which its shingles count as hot.
+HOT_FACTOR, HOT_LEAST = 4, 4096
 
 
 def set_key(s: np.ndarray) -> int:
@@ -197,35 +199,59 @@ def shingle_counts(docs: DataFrame, width: int = 5) -> np.ndarray:
     return out.ravel()
 
 
+def hot_limit(counts: np.ndarray) -> int:
+    """A shingle in a cell of at most so many occurrences is cold: no more rows can have it."""
+    return HOT_FACTOR * int(counts.mean()) + HOT_LEAST
+
+
 def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
 def _prefixes(width: int, threshold: int, counts: np.ndarray):
+    limit = hot_limit(counts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(1))
             for i, j in slices(offs):
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
-                prefixes, keys = [], []
+                keys = [set_key(s) if len(s) else None for s in sets]
+                cold, hot = [], []
                 for s in sets:
-                    keys.append(set_key(s) if len(s) else None)
                     p = prefix_length(len(s), threshold) if len(s) else 0
-                    order = np.lexsort((s, counts[(s >> np.uint64(46)).astype(np.int64)]))[:p]
-                    prefixes.append(s[order].view(np.int64))
+                    often = counts[(s >> np.uint64(46)).astype(np.int64)]
+                    order = np.lexsort((s, often))[:p]
+                    rare = np.count_nonzero(often[order] <= limit)
+                    cold.append(s[order[:rare]].view(np.int64))
+                    hot.append(s[order[rare:]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         pa.array(keys, pa.int64()),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]))),
+                        *(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in ps])]).astype(np.int32), pa.array(np.concatenate([*ps, np.zeros(0, np.int64)]))) for ps in (cold, hot)),
                     ],
-                    ["doc_id", "n_shingles", "node", "prefix"],
+                    ["doc_id", "n_shingles", "node", "prefix", "hot"],
                 )
 
     return run
 
 
+def _star_edges(first: DataFrame) -> DataFrame:
+    """(node, root) for classes that share a prefix shingle; root is the least that has it.
+
+    The sketch bounds how many rows can have a cold shingle, so those meet in a window, with
+    one shuffle. Hot ones are combined map-side and joined back, which AQE can split.
+    """
+    cold = first.select("node", F.explode("prefix").alias("shingle"))
+    cold = cold.withColumn("root", F.min("node").over(Window.partitionBy("shingle"))).where("node <> root").select("node", "root")
+    hot = first.where(F.size("hot") > 0).select("node", F.explode("hot").alias("shingle"))
+    least = hot.groupBy("shingle").agg(F.min("node").alias("root"), F.max("node").alias("other")).where("root <> other")
+    hot = hot.join(least.select("shingle", "root"), "shingle").where("node <> root").select("node", "root")
+    return cold.unionByName(hot).distinct()
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, class_size, n_links.
 
@@ -244,7 +270,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
     counts = shingle_counts(rows, width)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     table = materialize(
-        rows.mapInArrow(_prefixes(width, threshold, counts), f"doc_id {id_type}, n_shingles bigint, node bigint, prefix array<bigint>"),
+        rows.mapInArrow(_prefixes(width, threshold, counts), f"doc_id {id_type}, n_shingles bigint, node bigint, prefix array<bigint>, hot array<bigint>"),
         "prefixes",
     )
     classes = materialize(
@@ -252,9 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
     )
     # one row of each class emits its prefix; a repeated id emits twice, which changes nothing
     first = table.join(classes.select("node", "class_id", "class_size"), "node").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    posts = first.select("node", F.explode("prefix").alias("shingle"))
-    shared = posts.groupBy("shingle").agg(F.min("node").alias("root"), F.max("node").alias("other")).where("root <> other")
-    near = posts.join(shared.select("shingle", "root"), "shingle").where("node <> root").select("node", "root").distinct()
+    near = _star_edges(first)
     groups = materialize(connected_components(near, "node", "root"), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     n_nodes = groups.count()

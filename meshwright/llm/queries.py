@@ -7,15 +7,76 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprint_documents
+from .language_id import identify_languages
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
+from .pii import replace_pii
+from .quality_rules import apply_quality_rules, train as train_quality
+from .sharding import shuffle_into_shards
+from .token_files import read_token_files, write_token_files
+from .toxicity import rate_documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_shards(shuffle_into_shards(table(spark, sf_dir, "documents")))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return apply_quality_rules(docs, train_quality(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+def digest_shards(written: DataFrame) -> DataFrame:
+    """The digest of written shards: the records' own size, crc32, shard and slot."""
+    from pyspark.sql import functions as F
+
+    return written.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard_join,
+            op2_language_id,
+            op3_sharding,
+            op4_fingerprints,
+            op5_packing,
+            op7_token_files,
+            op8_quality_rules,
+            op9_toxicity,
+            op10_pii,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
