@@ -67,7 +67,7 @@ class Model:
 
 
 def fit_ftrl(
-    rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 3, seed: int = 9
+    rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 10, seed: int = 9
 ) -> Model:
     """FTRL-proximal on binary features; each row holds a text's distinct features."""
     z, n = np.zeros(FEATURES), np.zeros(FEATURES)
