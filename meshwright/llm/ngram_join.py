@@ -13,13 +13,16 @@ An R-tree fits in one task, so points are first dealt to trees without losing a
    first ``n - ceil(0.8 n) + 1`` of two linked sets always share one. The order puts
    frequent shingles last, by a fixed-size count sketch over all documents, so a passage
    in a third of all documents is hardly ever in a prefix;
-3. classes that share a prefix shingle, directly or through others, form a candidate
-   group; linked classes are always in the same one. Small groups share bins of about
-   ``BIN`` points. A larger group is cut into tiles, and each pair of tiles is one bin;
-4. each bin builds its R-tree, verifies, and returns a spanning forest and link counts,
-   never the pairs. Components of the forests are the result.
-
-Work in a group of m near copies (not exact ones) grows with m * m / BIN rows.
+3. the classes that have a prefix shingle are a block; of blocks with the same members one
+   is kept. A block's points are joined by bound in an R-tree (up to FANOUT points are one
+   leaf): what is left is a spanning forest of the pairs that could link;
+4. components of these forests are groups of sets that must be compared. Small groups share
+   bins of about ``BIN`` points; a larger group (or block) is cut into tiles, and each pair
+   of tiles is one bin. A bin builds its R-tree again, verifies pairs shingle by shingle,
+   and returns a spanning forest and link counts, never the pairs.
+
+Components of the last forests are the result. Work in a group of m near copies (not exact
+ones) grows with m * m / BIN rows.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from ..operators.storage import discard, materialize
 from .common import slices, utf8
 from .wordhash import join_hashes, shingle_sets
 
-GROUPS, BIN, FANOUT = 128, 2048, 16
+#: Coordinates of the tree's points; members of a bin; children of a node.
+GROUPS, BIN, FANOUT = 64, 2048, 16
 #: Cells of the count sketch (uint32 each) and rows in which it travels.
 SKETCH, PIECES = 1 << 18, 64
 #: Occurrences in a cell, as a multiple of the mean and a constant, from which its shingles count as hot.
@@ -91,18 +95,100 @@ class RTree:
         return ids[fits]
 
 
-def count_points(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
-    """Per set, how many of its shingles hash into each group."""
-    out = np.zeros((len(sets), groups), np.int32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
+def fine_groups(n: int) -> int:
+    """Coordinates of the stored point of a set of n: a power of two that tells unlike sets of its size apart."""
+    return max(GROUPS, 1 << max(0, -(-n // 6) - 1).bit_length())
+
+
+def count_point(s: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles of a set hash into each group."""
+    return np.bincount((s >> np.uint64(30)).astype(np.int64) % groups, minlength=groups)
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point in fewer coordinates (both powers of two): groups are added up."""
+    return point.reshape(-1, groups).sum(0)
+
+
+#: Stored counts are uint16; the largest stands for any larger one and is read as this.
+_FULL, _MANY = 65535, 1 << 40
+
+
+def load_point(raw: bytes) -> np.ndarray:
+    p = np.frombuffer(raw, "<u2").astype(np.int64)
+    p[p == _FULL] = _MANY
+    return p
+
+
+def bound_forest(points: list[np.ndarray], sizes: np.ndarray, blocks: np.ndarray, tiles: np.ndarray, threshold: int, two: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs in one block (if ``two``, of two tiles) that could link.
+
+    ``blocks`` is ascending. Pairs whose ends hang together already are not looked at again.
+    """
+    coarse = np.array([fold(p, GROUPS) for p in points]).reshape(-1, GROUPS)
+    root = np.arange(len(points))
+    out: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def fine(i: int, j: int) -> bool:
+        g = min(len(points[i]), len(points[j]))
+        return int(np.minimum(fold(points[i], g), fold(points[j], g)).sum()) >= -(-(threshold * int(sizes[i] + sizes[j])) // (100 + threshold))
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b and fine(i, j):
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    cut = np.flatnonzero(np.diff(blocks)) + 1
+    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(blocks)]])
+    left, right = [], []
+    for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+        b = hi - lo
+        if b <= FANOUT:  # a single leaf: its entries are compared directly
+            i, j = np.triu_indices(b, 1)
+            if two:
+                other = tiles[lo + i] != tiles[lo + j]
+                i, j = i[other], j[other]
+            left.append(lo + i)
+            right.append(lo + j)
+            continue
+        tree = RTree(coarse[lo:hi], sizes[lo:hi], threshold)
+        for i in range(b):
+            for j in tree.search(coarse[lo + i], sizes[lo + i]).tolist():
+                if j > i and not (two and tiles[lo + i] == tiles[lo + j]):
+                    join(lo + i, lo + j)
+    if left:
+        i, j = np.concatenate(left), np.concatenate(right)
+        near = 100 * np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
+        i, j = i[near], j[near]
+        for at in range(0, len(i), 1 << 15):
+            a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            ok = (100 + threshold) * np.minimum(coarse[a], coarse[b]).sum(1) >= threshold * (sizes[a] + sizes[b])
+            for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                join(x, y)
     return out
 
 
+def _bound_bin(threshold: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "tile", "node"], kind="stable")
+        node = pdf["node"].to_numpy()
+        got = bound_forest([load_point(p) for p in pdf["point"]], pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy(), pdf["tile"].to_numpy(), threshold, pdf["cell_a"].iat[0] != pdf["cell_b"].iat[0])
+        return pd.DataFrame([(node[i], node[j]) for i, j in got], columns=["node", "root"]).astype("int64")
+
+    return run
+
+
 def link_sets(sets: list[np.ndarray], tiles: np.ndarray, threshold: int, both: bool) -> Iterator[tuple[int, np.ndarray]]:
     """(i, linked js) with j > i in the tree's numbering; if ``both``, only pairs across two tiles."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    tree = RTree(count_points(sets), sizes, threshold)
+    tree = RTree(np.array([count_point(s, GROUPS) for s in sets]), sizes, threshold)
     values, dense = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(len(values), bool)
@@ -146,7 +232,7 @@ def _link_bin(width: int, threshold: int):
                 x = root[x]
             return x
 
-        for i, js in link_sets(sets, tile, threshold, len(np.unique(tile)) > 1 and pdf["cell_a"].iat[0] != pdf["cell_b"].iat[0]):
+        for i, js in link_sets(sets, tile, threshold, pdf["cell_a"].iat[0] != pdf["cell_b"].iat[0]):
             degree[i] += weight[js].sum()
             degree[js] += weight[i]
             for j in js.tolist():
@@ -230,26 +316,49 @@ def _prefixes(width: int, threshold: int, counts: np.ndarray):
                         batch.column(0).slice(i, j - i),
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         pa.array(keys, pa.int64()),
+                        pa.array([np.minimum(count_point(s, fine_groups(len(s))), _FULL).astype("<u2").tobytes() for s in sets], pa.binary()),
                         *(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in ps])]).astype(np.int32), pa.array(np.concatenate([*ps, np.zeros(0, np.int64)]))) for ps in (cold, hot)),
                     ],
-                    ["doc_id", "n_shingles", "node", "prefix", "hot"],
+                    ["doc_id", "n_shingles", "node", "point", "prefix", "hot"],
                 )
 
     return run
 
 
-def _star_edges(first: DataFrame) -> DataFrame:
-    """(node, root) for classes that share a prefix shingle; root is the least that has it.
+def _blocks(first: DataFrame) -> DataFrame:
+    """(node, block, members): the classes that share a prefix shingle; equal blocks are one.
 
     The sketch bounds how many rows can have a cold shingle, so those meet in a window, with
     one shuffle. Hot ones are combined map-side and joined back, which AQE can split.
     """
-    cold = first.select("node", F.explode("prefix").alias("shingle"))
-    cold = cold.withColumn("root", F.min("node").over(Window.partitionBy("shingle"))).where("node <> root").select("node", "root")
+
+    def facts(over=None) -> dict:
+        found = {"low": F.min("node"), "high": F.max("node"), "members": F.count("*"), "sum": F.sum(F.xxhash64("node") % 1000003)}
+        return {k: v.over(over) for k, v in found.items()} if over is not None else found
+
+    cold = first.select("node", F.explode("prefix").alias("shingle")).withColumns(facts(Window.partitionBy("shingle")))
     hot = first.where(F.size("hot") > 0).select("node", F.explode("hot").alias("shingle"))
-    least = hot.groupBy("shingle").agg(F.min("node").alias("root"), F.max("node").alias("other")).where("root <> other")
-    hot = hot.join(least.select("shingle", "root"), "shingle").where("node <> root").select("node", "root")
-    return cold.unionByName(hot).distinct()
+    known = hot.groupBy("shingle").agg(*(v.alias(k) for k, v in facts().items())).where("low <> high")
+    both = cold.where("low <> high").unionByName(hot.join(known, "shingle").select(*cold.columns))
+    return both.select("node", F.xxhash64("low", "high", "members", "sum").alias("block"), "members").distinct()
+
+
+def _dealt(rows: DataFrame, group: str, bins: int) -> DataFrame:
+    """``rows`` (node, ``group``, members) with tile and cell: where each is compared.
+
+    A group of at most BIN members is dealt whole to one of ``bins``; a larger one is cut
+    into tiles, and a member goes to the cell of its tile with every tile.
+    """
+    tiles = F.ceil(F.col("members") / BIN).cast("bigint")
+    big = F.col("members") > BIN
+    tile = F.when(big, F.pmod(F.xxhash64("node", F.lit(3)), tiles)).otherwise(F.lit(0)).cast("bigint")
+    nowhere = F.lit(-1).cast("bigint")
+    small = F.array(F.struct(F.pmod(F.xxhash64(group, F.lit(5)), F.lit(bins)).alias("place"), nowhere.alias("cell_a"), nowhere.alias("cell_b")))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), tiles - 1),
+        lambda k: F.struct(F.col(group).alias("place"), F.least(k, F.col("tile")).alias("cell_a"), F.greatest(k, F.col("tile")).alias("cell_b")),
+    )
+    return rows.withColumn("tile", tile).withColumn("cells", F.when(big, pairs).otherwise(small))
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -270,7 +379,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
     counts = shingle_counts(rows, width)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     table = materialize(
-        rows.mapInArrow(_prefixes(width, threshold, counts), f"doc_id {id_type}, n_shingles bigint, node bigint, prefix array<bigint>, hot array<bigint>"),
+        rows.mapInArrow(_prefixes(width, threshold, counts), f"doc_id {id_type}, n_shingles bigint, node bigint, point binary, prefix array<bigint>, hot array<bigint>"),
         "prefixes",
     )
     classes = materialize(
@@ -278,34 +387,23 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
     )
     # one row of each class emits its prefix; a repeated id emits twice, which changes nothing
     first = table.join(classes.select("node", "class_id", "class_size"), "node").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    near = _star_edges(first)
+    blocks = materialize(_blocks(first), "blocks")
+    places = max(1, 2 * blocks.count() // BIN)
+    met = _dealt(blocks, "block", places).join(first.select("node", "n_shingles", "point"), "node")
+    met = met.select("node", "block", "tile", "n_shingles", "point", F.explode("cells").alias("cell")).select("node", "block", "tile", "n_shingles", "point", "cell.*")
+    near = met.groupBy("place", "cell_a", "cell_b").applyInPandas(_bound_bin(threshold), "node bigint, root bigint")
     groups = materialize(connected_components(near, "node", "root"), "groups")
+    discard(blocks)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    n_nodes = groups.count()
-    bins = max(1, n_nodes * 2 // BIN)
-    tiles = F.ceil(F.col("members") / BIN)
-    tile = F.when(F.col("members") > BIN, F.pmod(F.xxhash64("node", F.lit(3)), tiles)).otherwise(F.lit(0))
-    big = F.col("members") > BIN
-    cells = F.when(
-        big,
-        F.transform(
-            F.sequence(F.lit(0).cast("bigint"), tiles.cast("bigint") - 1),
-            lambda k: F.struct(F.col("component").alias("group"), F.least(k, F.col("tile")).alias("cell_a"), F.greatest(k, F.col("tile")).alias("cell_b")),
-        ),
-    ).otherwise(
-        F.array(F.struct(F.pmod(F.xxhash64("component", F.lit(5)), F.lit(bins)).alias("group"), F.lit(-1).cast("bigint").alias("cell_a"), F.lit(-1).cast("bigint").alias("cell_b")))
-    )
-    placed = (
-        groups.join(sizes, "component").withColumn("tile", tile.cast("bigint")).withColumn("cells", cells)
-        .join(classes, "node").select("node", "class_id", "class_size", "tile", "cells")
-    )
+    dealt = _dealt(groups.join(sizes, "component"), "component", max(1, 2 * groups.count() // BIN))
+    placed = dealt.join(classes, "node").select("node", "class_id", "class_size", "tile", "cells")
     texts = (
         rows.join(placed, F.col("doc_id").eqNullSafe(F.col("class_id")))
         .select("node", "text", "tile", "class_size", F.explode("cells").alias("cell"))
         .select("node", "text", "tile", "class_size", "cell.*")
     )
     found = materialize(
-        texts.groupBy("group", "cell_a", "cell_b").applyInPandas(_link_bin(width, threshold), "src bigint, dst bigint, links bigint"), "links"
+        texts.groupBy("place", "cell_a", "cell_b").applyInPandas(_link_bin(width, threshold), "src bigint, dst bigint, links bigint"), "links"
     )
     linked = connected_components(found, "src", "dst")
     degree = found.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("outside"))
