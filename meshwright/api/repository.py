@@ -25,7 +25,8 @@ from ..sources.lines import lines
 SHOW, MAP, FIND, TRACE, PACK = 2000, 1500, 400, 800, 6000
 CALLERS, CALLEES, USAGES, PHRASES, CANDIDATES, TINY_LINES, SNIPPET_LINES = 12, 30, 15, 5, 10, 3, 80
 LADDER = [(12, 25), (8, 20), (6, 15), (4, 12), (3, 10), (2, 8), (1, 6), (1, 3)]
-_KIND_ORDER = F.when(F.col("kind") == "function", 0).when(F.col("kind") == "class", 1).otherwise(2)
+#: Functions come before classes, those before modules.
+_KIND_ORDER = "case kind when 'function' then 0 when 'class' then 1 else 2 end"
 
 
 def tokens_of(text: str) -> int:
@@ -119,7 +120,7 @@ class Repository:
         }
         score = S.fuzzy_score(fields, words) * F.when(F.col("kind") == "module", 0.8).otherwise(1.0)
         hits = self.symbols.withColumn("score", score).where("score > 0").join(G.degree(self.links), "id", "left").fillna(0, ["degree"])
-        return hits.orderBy(F.desc("score"), _KIND_ORDER, F.desc("degree"), F.length("id"), "id").select("id", "score", "kind", "degree", "file", "line", "signature")
+        return hits.orderBy(F.desc("score"), F.expr(_KIND_ORDER), F.desc("degree"), F.length("id"), "id").select("id", "score", "kind", "degree", "file", "line", "signature")
 
     def find(self, query: str) -> str:
         out = [f"{r.id}  {r.kind}  {r.file}:{r.line}" + (f"  {r.signature}" if r.signature else "") for r in self.ranked(query).limit(CANDIDATES).collect()]

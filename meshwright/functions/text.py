@@ -30,7 +30,7 @@ def relative_path(path: Column, root: str) -> Column:
 
 def slug(text: Column, most: int = 40) -> Column:
     """Lower-case letters and digits with single dashes between, ``most`` characters."""
-    return F.substring(F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")), 1, most)
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
 def first_match(text: Column, needles: list[tuple[str, str]], default: str) -> Column:

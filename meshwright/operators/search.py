@@ -57,6 +57,11 @@ def overlaps(text: Column, query: list[str]) -> Column:
 FIELD_WEIGHTS = {"name": 3.0, "qual": 2.0, "route": 2.0, "file": 1.5, "doc": 1.0, "dir": 0.5}
 
 
+def _prefix_of(word: str):
+    """Whether a field word begins with ``word``, or is a long enough beginning of it."""
+    return lambda x: (F.lit(len(word) >= 3) & x.startswith(word)) | ((F.length(x) >= 4) & F.lit(word).startswith(x))
+
+
 def fuzzy_score(fields: dict[str, Column], query: list[str]) -> Column:
     """The symbol score of query words against fields.
 
@@ -73,7 +78,7 @@ def fuzzy_score(fields: dict[str, Column], query: list[str]) -> Column:
             words = identifier_words(F.coalesce(col, F.lit("")))
             weight = FIELD_WEIGHTS[field]
             whole = F.array_contains(words, w)
-            prefix = F.exists(words, lambda x, w=w: (F.lit(len(w) >= 3) & x.startswith(w)) | ((F.length(x) >= 4) & F.lit(w).startswith(x)))
+            prefix = F.exists(words, _prefix_of(w))
             best = F.greatest(best, F.when(whole, F.lit(weight)).when(prefix, F.lit(weight * 0.6)).otherwise(F.lit(0.0)))
         total = total + best
         matched = matched + F.when(best > 0, 1).otherwise(0)

@@ -95,7 +95,7 @@ def top3_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.agg((F.count_if(F.col("best") <= 3).cast("double") / F.count("*")).alias("top3"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, len(list_filter(['the', 'and', 'of'], r -> contains(text, r))) = 3 AS covered FROM documents")
+@query("SELECT doc_id, len(list_filter(['the', 'and', 'of'], lambda r: contains(text, r))) = 3 AS covered FROM documents")
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all required strings are in an answer."""
     need = F.array(F.lit("the"), F.lit("and"), F.lit("of"))

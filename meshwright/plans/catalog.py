@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics_queries, code_queries, graph_queries, search_queries, text_queries  # noqa: F401 - they register themselves
+from . import analytics_queries, code_queries, graph_queries, search_queries, stream_queries, text_queries  # noqa: F401 - they register themselves
 from .registry import QUERIES, SQL, Query
 
 

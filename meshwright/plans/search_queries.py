@@ -66,7 +66,7 @@ _FUZZY_SQL = """
 fields AS (
   SELECT p_partkey AS id, 'name' AS field, 3.0 AS weight, unnest(string_split(lower(p_name), ' ')) AS word FROM part
   UNION ALL SELECT p_partkey, 'qual', 2.0, lower(p_type) FROM part
-  UNION ALL SELECT p_partkey, 'doc', 1.0, unnest(list_filter(regexp_split_to_array(lower(p_brand), '[^a-z0-9]+'), x -> x <> '')) FROM part),
+  UNION ALL SELECT p_partkey, 'doc', 1.0, unnest(list_filter(regexp_split_to_array(lower(p_brand), '[^a-z0-9]+'), lambda x: x <> '')) FROM part),
 asked AS (SELECT unnest(['ring', 'econ']) AS q),
 best AS (SELECT id, q, max(CASE WHEN word = q THEN weight WHEN (length(q) >= 3 AND starts_with(word, q)) OR (length(word) >= 4 AND starts_with(q, word)) THEN 0.6 * weight ELSE 0 END) AS s FROM fields, asked GROUP BY id, q),
 scored AS (SELECT id, CAST(sum(s) AS DOUBLE) AS s, count(*) FILTER (WHERE s > 0) AS m FROM best GROUP BY id),

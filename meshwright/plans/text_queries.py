@@ -157,7 +157,7 @@ def containment_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH sel AS (SELECT DISTINCT s_nationkey % 5 AS g, s_nationkey FROM supplier), groups AS (SELECT g, list(s_nationkey ORDER BY s_nationkey)[1:2] AS ks FROM sel GROUP BY g),
 labels AS (SELECT c_nationkey % 5 AS g, list(DISTINCT c_nationkey) AS ns FROM customer GROUP BY 1)
-SELECT CAST(g AS BIGINT) AS g, len(list_filter(ks, k -> NOT list_contains(ns, k))) = 0 AND len(ks) > 0 AS matches FROM groups JOIN labels USING (g)""")
+SELECT CAST(g AS BIGINT) AS g, len(list_filter(ks, lambda k: NOT list_contains(ns, k))) = 0 AND len(ks) > 0 AS matches FROM groups JOIN labels USING (g)""")
 def selector_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors (the first two nations of suppliers) against label maps (nations of customers)."""
     s = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 5).cast("bigint").alias("g")).agg(F.slice(F.sort_array(F.collect_set("s_nationkey")), 1, 2).alias("ks"))
@@ -238,8 +238,7 @@ def html_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "href", relation.alias("relation"))
 
 
-@query(f"""WITH {LINES_SQL}, first_line AS (SELECT doc_id, min(line_no) AS at FROM lines WHERE regexp_matches(line, '^[A-ZÀ-Þ]') GROUP BY doc_id), values_ AS (SELECT l.doc_id, arg_min(line, line_no) AS value FROM lines l JOIN first_line f ON l.doc_id = f.doc_id AND line_no >= at GROUP BY l.doc_id)
-SELECT doc_id, substr(value, 1, 140) AS value FROM values_""")
+@query(f"WITH {LINES_SQL} SELECT doc_id, substr(arg_min(line, line_no), 1, 140) AS value FROM lines WHERE regexp_matches(line, '^[A-ZÀ-Þ]') GROUP BY doc_id")
 def module_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first top-level line of each document, capped at 140 characters."""
     ls = lines(table(spark, sf_dir, "documents")).where(F.col("line").rlike("^[A-ZÀ-Þ]"))
