@@ -1,10 +1,10 @@
 """Language identification by error-correcting output codes.
 
 Every language has a binary codeword. For each bit a logistic classifier over hashed byte
-n-grams (orders 1 to 3 of the lower-cased UTF-8 text) says how likely the bit is set. A
-text gets the language whose codeword has the least loss, the bits weighted by how well
-their classifiers did on the training sample; the softmax of the negative losses is the
-score, and a small gap to the runner-up flags the text as ambiguous.
+n-grams of the text's words (orders 1 to 3 of the lower-cased UTF-8, with a separator at
+both ends) says how likely the bit is set. A text gets the language whose codeword has the
+least loss, the bits weighted by how well their classifiers did on the training sample; the
+softmax of the negative losses is the score, and a low score flags the text as ambiguous.
 
 Training reads at most ``SAMPLE`` documents of each language, the same at any input size;
 prediction reads all of every text.
@@ -12,7 +12,6 @@ prediction reads all of every text.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_sample, fold, slices, utf8
-from .wordhash import LOWER, SEPARATOR
+from .wordhash import LOWER, span_hashes, word_spans
 
 #: Documents of each language that are learnt from; hashed features; score under which a text is ambiguous.
-SAMPLE, FEATURES, AMBIGUOUS = 768, 1 << 15, 0.4
+SAMPLE, FEATURES, AMBIGUOUS = 512, 1 << 15, 0.4
+#: Text in which each distinct word is looked up once.
+SLICE = 6 << 20
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3)
 _MUL = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -54,27 +55,40 @@ def codewords(k: int, seed: int = 11) -> np.ndarray:
     return best
 
 
-def ngram_features(data: np.ndarray) -> list[np.ndarray]:
-    """For each order, the hashed feature at every byte position (n - order + 1 of them).
+def word_buffer(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given words one after the other, a separator before each and after the last, and where each one's separator is."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(at[-1] + 1, 0x20, np.uint8)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at[:-1] + 1, size) + inner] = data[np.repeat(starts, size) + inner]
+    return out, at[:-1]
 
-    Bytes that are ASCII white space, digits or punctuation all count as one separator.
+
+def ngram_features(buffer: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order (positions, hashed features) of the n-grams of a word buffer.
+
+    N-grams lie in one word with the separators at its ends; an n-gram stands at its first byte.
     """
-    b = _CLASS[data].astype(np.uint32)
+    b = buffer.astype(np.uint32)
+    gap = buffer == 0x20
     out = []
     for order in _ORDERS:
-        n = len(b) - order + 1
-        if n <= 0:
-            out.append(np.zeros(0, np.int64))
-            continue
+        n = max(0, len(b) - order + 1)
         h = np.full(n, np.uint32(order * 97))
         for k in range(order):
             h = (h ^ b[k : k + n]) * _MUL[k]
-        out.append(((h ^ (h >> np.uint32(15))) & np.uint32(FEATURES - 1)).astype(np.int64))
+        whole = ~gap[:n] if order == 1 else np.ones(n, bool)
+        for k in range(1, order - 1):
+            whole &= ~gap[k : k + n]
+        at = np.flatnonzero(whole)
+        out.append((at, ((h ^ (h >> np.uint32(15))) & np.uint32(FEATURES - 1)).astype(np.int64)[at]))
     return out
 
 
 _CLASS = LOWER.copy()
 _CLASS[[c for c in range(128) if not chr(c).isalpha()]] = 0x20
+_GAP = np.arange(256) == 0x20
 
 
 @dataclass
@@ -88,23 +102,26 @@ class Model:
     trust: np.ndarray
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bit margins of every document; the mean weight of its n-grams, all of them."""
+        """Bit margins of every document from the n-grams of all its words.
+
+        A word's n-grams are summed once for the slice, however often the word occurs.
+        """
         n_docs, bits = len(offsets) - 1, len(self.bias)
-        total = np.zeros((n_docs, bits))
-        count = np.zeros(n_docs)
-        for order, feats in zip(_ORDERS, ngram_features(data), strict=True):
-            # an n-gram belongs to the document it lies in whole
-            last = np.maximum(offsets[1:] - order + 1, offsets[:-1])
-            last = np.minimum(last, len(feats))
-            for d0 in range(0, n_docs, 256):
-                d1 = min(n_docs, d0 + 256)
-                lo, hi = offsets[d0], max(int(last[d1 - 1]), int(offsets[d0]))
-                run = np.zeros((hi - lo + 1, bits), np.float64)
-                np.cumsum(self.weights[feats[lo:hi]], axis=0, dtype=np.float64, out=run[1:])
-                a = np.minimum(offsets[d0:d1], len(feats))
-                z = np.maximum(last[d0:d1], a)
-                total[d0:d1] += run[z - lo] - run[a - lo]
-                count[d0:d1] += z - a
+        b = _CLASS[data]
+        starts, ends, doc = word_spans(b, offsets, _GAP)
+        total, count = np.zeros((n_docs, bits)), np.zeros(n_docs)
+        if len(starts):
+            _, first, each = np.unique(span_hashes(b, starts, ends), return_index=True, return_inverse=True)
+            buffer, at = word_buffer(b, starts[first], ends[first])
+            value, number = np.zeros((len(buffer), bits), np.float32), np.zeros(len(buffer), np.float32)
+            for pos, feats in ngram_features(buffer):
+                value[pos] += self.weights[feats]
+                number[pos] += 1
+            value, number = np.add.reduceat(value, at), np.add.reduceat(number, at)
+            full = np.flatnonzero(np.bincount(doc, minlength=n_docs))
+            cut = np.searchsorted(doc, full)
+            total[full] = np.add.reduceat(value[each], cut, dtype=np.float64)
+            count[full] = np.add.reduceat(number[each], cut, dtype=np.float64)
         return total / np.sqrt(np.maximum(count, 1))[:, None] + self.bias
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +140,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offs = utf8(batch.column(0))
         ids, values = [], []
         for i in range(batch.num_rows):
-            feats = np.concatenate(ngram_features(data[offs[i] : offs[i + 1]]))
+            own = _CLASS[data[offs[i] : offs[i + 1]]]
+            starts, ends, _ = word_spans(own, np.array([0, len(own)]), _GAP)
+            feats = np.concatenate([f for _, f in ngram_features(word_buffer(own, starts, ends)[0])]) if len(starts) else np.zeros(0, np.int64)
             u, c = np.unique(feats, return_counts=True)
             ids.append(u.astype(np.int32))
             values.append((c / np.sqrt(max(len(feats), 1))).astype(np.float32))
@@ -133,7 +152,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, epochs: int = 12) -> Model | None:
+def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, epochs: int = 6) -> Model | None:
     """Fit on at most ``sample`` documents of each language among rows where ``learn`` holds.
 
     Languages are the distinct non-null values there. None if there are none.
@@ -182,7 +201,7 @@ def _predict(model: Model | None):
             data, offs = utf8(batch.column(batch.num_columns - 1))
             texts = batch.column(batch.num_columns - 1)
             langs, scores = [], []
-            for i, j in slices(offs):
+            for i, j in slices(offs, SLICE):
                 part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 lettered = _has_letter(part, at, texts.slice(i, j - i))
                 if model is None:
