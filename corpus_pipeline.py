@@ -23,15 +23,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line model keep."""
     field = train_quality(docs, table(spark, sf_dir, "labels"))
-    judged = apply_quality_rules(docs.withColumn("_text", F.col("text")), field, _with_text(docs))
-    return judged.where("kept").select(*_columns(docs))
+    return apply_quality_rules(_packed(docs), field, ["row"]).where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told without doubt: neither ``und`` nor flagged as ambiguous."""
     model = train_language(docs, ~F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
-    found = predict_language(docs.withColumn("_text", F.col("text")), model, _with_text(docs))
-    return found.where("not ambiguous").select(*_columns(docs))
+    return predict_language(_packed(docs), model, ["row"]).where("not ambiguous").select("row.*")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +47,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, with_ids=True)
 
 
-def _with_text(docs: DataFrame) -> list[str]:
-    """The operators read ``text``; a copy of it travels with the other columns."""
-    return ["_text" if c == "text" else c for c in docs.columns]
-
-
-def _columns(docs: DataFrame) -> list:
-    return [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns as one struct beside the text, so that no name can clash with a result."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("n-gram Jaccard join", ngram_join), ("PII", pii), ("packing", packing)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Text handled at once by the vectorised code, in bytes; a longer document is handled alone.
 SLICE_BYTES = 2 << 20
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_of(rows: DataFrame, kept: list[str], results: str) -> StructType:
+    """The columns ``kept`` of ``rows`` as they are, nested nullability included, then ``results`` (DDL)."""
+    return StructType([rows.schema[c] for c in kept] + StructType.fromDDL(results).fields)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: what decides on held-out rows."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, fold, slices, utf8
+from .common import bounded_sample, fold, schema_of, slices, utf8
 from .wordhash import LOWER, span_hashes, word_spans
 
 #: Documents of each language that are learnt from; hashed features; score under which a text is ambiguous.
@@ -159,7 +159,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, epochs: int = 6)
     """
     picked = bounded_sample(docs.where(learn).where("text is not null"), "lang", "doc_id", sample)
     picked = F.broadcast(picked.select(F.col("key").alias("_key"), F.col("label")))  # at most sample x languages rows
-    known = docs.where(learn).join(picked, (F.col("doc_id") == F.col("_key")) & (F.col("lang") == F.col("label")))
+    known = docs.where(learn).select("doc_id", "text", "lang").join(picked, (F.col("doc_id") == F.col("_key")) & (F.col("lang") == F.col("label")))
     rows = known.select("text", "label").mapInArrow(_counts, "label string, ids binary, vals binary").collect()
     if not rows:
         return None
@@ -238,8 +238,7 @@ def predict_language(docs: DataFrame, model: Model | None, keep: list[str], ambi
     refused by Spark; name others.
     """
     rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
-    out = rows.mapInArrow(_predict(model), schema)
+    out = rows.mapInArrow(_predict(model), schema_of(rows, keep, "lang_pred string, score double"))
     return out.withColumn("ambiguous", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < ambiguous))
 
 

@@ -435,7 +435,6 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: int = 80) -> Da
     lead = (
         ngram_jaccard_join(docs, width, threshold).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_lead")).distinct()
     )
-    cols = docs.columns
-    known = docs.where("doc_id is not null").join(lead, F.col("doc_id") == F.col("_lead"), "left_semi")
-    once = known.dropDuplicates(["doc_id"])
-    return once.select(*cols).unionByName(docs.where("doc_id is null").select(*cols))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
+    known = rows.join(lead, F.col("doc_id") == F.col("_lead"), "left_semi").dropDuplicates(["doc_id"])
+    return known.select("row.*").unionByName(docs.where("doc_id is null"))

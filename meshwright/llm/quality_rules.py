@@ -23,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, schema_of
 
 #: Labelled documents of each quality that are learnt from; least share of content to stay.
 SAMPLE, LEAST_CONTENT = 1024, 0.5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-_TRIM = re.compile(r"\w+")
 N_FEATURES = 18
 
 
@@ -208,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ChainFiel
     picked = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)"), "quality", "doc_id", sample)
     picked = F.broadcast(picked.select(F.col("key").alias("_key"), "label"))  # 2 x sample rows at most
     got = (
-        docs.where("text is not null").join(picked, F.col("doc_id") == F.col("_key")).select("text", "label")
+        docs.select("doc_id", "text").where("text is not null").join(picked, F.col("doc_id") == F.col("_key")).select("text", "label")
         .mapInArrow(_sequences, "label int, rows binary").collect()
     )
     got.sort(key=lambda r: (r.label, bytes(r.rows)))
@@ -249,6 +248,5 @@ def apply_quality_rules(docs: DataFrame, field: ChainField, keep: list[str], lea
     judged alike; an empty table gives no rows. ``keep`` must not name a result column.
     """
     rows = docs.select(*keep, "text")
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     kinds = ["bigint"] * 5 + ["boolean"] * 2 + ["double"]
-    return rows.mapInArrow(_judge(field, least_content), ", ".join([own, *(f"{n} {k}" for n, k in zip(RESULTS, kinds, strict=True))]))
+    return rows.mapInArrow(_judge(field, least_content), schema_of(rows, keep, ", ".join(f"{n} {k}" for n, k in zip(RESULTS, kinds, strict=True))))

@@ -10,12 +10,13 @@ writes the same rows.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.storage import materialize
+from .common import schema_of
 
 SEED, BUCKET_BYTES = 7, 24 << 20
 
@@ -34,11 +35,10 @@ def _shuffle_bucket(seed: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         # a fixed order first: rows arrive in any order
-        rows = rows.sort_by([("_key", "ascending"), ("_crc", "ascending"), ("_size", "ascending")])
-        order = fisher_yates(rows.num_rows, seed, bucket)
-        at = pa.array(np.arange(rows.num_rows, dtype=np.int64) + rows["_base"][0].as_py())
-        rows = rows.take(pa.array(order)).drop_columns(["_bucket", "_base"]).append_column("_at", at)
-        return rows
+        order = pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("crc", "ascending"), ("size", "ascending")])
+        order = order.take(pa.array(fisher_yates(rows.num_rows, seed, bucket)))
+        at = pa.array(np.arange(rows.num_rows, dtype=np.int64) + rows["base"][0].as_py())
+        return rows.select(["row", "size", "crc"]).take(order).append_column("at", at)
 
     return run
 
@@ -53,26 +53,24 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = SEED, buck
     """
     taken = {"shard", "slot", "size", "text_crc32"}
     cols = [c for c in docs.columns if c not in taken]
+    # the record itself travels as one struct, whatever its columns are called
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(*cols).withColumn("_size", F.octet_length(text) + F.lit(1).cast("bigint")).withColumn("_crc", F.crc32(text))
+    rows = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("bigint").alias("key"), (F.octet_length(text) + F.lit(1).cast("bigint")).alias("size"), F.crc32(text).alias("crc"))
     total = docs.agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count("*").alias("rows")).first()
     n = total.rows
     buckets = max(1, -(-int(total.bytes or 0) // bucket_bytes))
     # rows without an id, or with the same id, are told apart by their text
-    scatter = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_crc", "_size"), F.lit(buckets))
-    rows = rows.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_bucket", scatter)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key", "crc", "size"), F.lit(buckets)))
     # the place of a bucket: one short row for each bucket meets in a window
-    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    bases = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint").alias("_base"))
-    placed = rows.join(bases, F.col("_bucket") == F.col("_b")).drop("_b")
-    kept = [f for f in rows.schema.fields if f.name != "_bucket"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _at bigint"
-    order = [f.name for f in kept] + ["_bucket", "_base"]
-    mixed = placed.select(*order).groupBy("_bucket").applyInArrow(_shuffle_bucket(seed), schema)
+    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    bases = counts.select("bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint").alias("base"))
+    placed = rows.join(bases, "bucket").select("row", "key", "size", "crc", "bucket", "base")
+    schema = schema_of(rows, ["row"], "size bigint, crc bigint, at bigint")
+    mixed = placed.groupBy("bucket").applyInArrow(_shuffle_bucket(seed), schema)
     # shard i holds the places floor(i n / shards) up to floor((i + 1) n / shards)
-    shard = F.expr(f"cast(((_at + 1) * {shards} - 1) div {max(n, 1)} as int)")
+    shard = F.expr(f"cast(((at + 1) * {shards} - 1) div {max(n, 1)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {n}) div {shards}")
-    written = mixed.withColumn("shard", shard).withColumn("slot", F.col("_at") - first)
-    written = written.withColumnsRenamed({"_size": "size", "_crc": "text_crc32"}).drop("_key", "_at")
-    return materialize(written, "shards")
+    written = mixed.withColumn("shard", shard).withColumn("slot", F.col("at") - first)
+    out = written.select(*(F.col(f"row.`{c}`").alias(c) for c in cols), "shard", "slot", "size", F.col("crc").alias("text_crc32"))
+    return materialize(out, "shards")

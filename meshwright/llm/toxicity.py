@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, fold, slices, utf8
+from .common import bounded_sample, fold, schema_of, slices, utf8
 from .wordhash import LOWER, mix, span_hashes, word_spans
 
 #: Labelled documents of each class that are learnt from; feature space; score from which a text counts as toxic.
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
     picked = bounded_sample(known, "toxic", "doc_id", sample)
     picked = F.broadcast(picked.select(F.col("key").alias("_key"), "label"))  # 2 x sample rows at most
     rows = (
-        docs.where("text is not null").join(picked, F.col("doc_id") == F.col("_key")).select("text", "label")
+        docs.select("doc_id", "text").where("text is not null").join(picked, F.col("doc_id") == F.col("_key")).select("text", "label")
         .mapInArrow(_training_rows, "label int, ids binary").collect()
     )
     rows.sort(key=lambda r: (r.label, bytes(r.ids)))
@@ -147,8 +147,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], toxic: float
     equal scores; an empty table gives no rows.
     """
     rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
-    return rows.mapInArrow(_score(model), schema).withColumn("predicted", (F.col("score") >= toxic).cast("int"))
+    return rows.mapInArrow(_score(model), schema_of(rows, keep, "score double")).withColumn("predicted", (F.col("score") >= toxic).cast("int"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
