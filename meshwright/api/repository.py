@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..extract.scan import Extractor, scan_files
+from ..extract.tsconfig import ALIAS_SCHEMA, aliases
 from ..functions.text import all_words, identifier_words, short_signature, slug, token_estimate, word_usage
 from ..operators import code_graph as C
 from ..operators import graph as G
@@ -24,6 +25,8 @@ from ..sources.lines import lines
 #: Budgets of the views in tokens, and how many rows of a kind they show.
 SHOW, MAP, FIND, TRACE, PACK = 2000, 1500, 400, 800, 6000
 CALLERS, CALLEES, USAGES, PHRASES, CANDIDATES, TINY_LINES, SNIPPET_LINES = 12, 30, 15, 5, 10, 3, 80
+#: Symbols of one comma-separated call of show.
+MULTI = 4
 LADDER = [(12, 25), (8, 20), (6, 15), (4, 12), (3, 10), (2, 8), (1, 6), (1, 3)]
 #: Functions come before classes, those before modules.
 _KIND_ORDER = "case kind when 'function' then 0 when 'class' then 1 else 2 end"
@@ -65,7 +68,11 @@ class Repository:
 
     @cached_property
     def resolved(self) -> tuple[DataFrame, DataFrame]:
-        nodes, edges = C.resolve(self.scanned[0], self.scanned[1])
+        # only configurations: a repository has a handful
+        config = (F.col("ext") == "json") & ((F.col("name") == "tsconfig.json") | F.contains("text", F.lit('"compilerOptions"')))
+        configs = {r.rel_path: r.text for r in self.files.where(config).select("rel_path", "text").collect()}
+        paths = aliases(configs)
+        nodes, edges = C.resolve(self.scanned[0], self.scanned[1], self.spark.createDataFrame(paths, ALIAS_SCHEMA) if paths else None)
         return nodes, materialize(edges, "resolved")
 
     @property
@@ -157,14 +164,37 @@ class Repository:
         rows = self.lines.where((F.col("rel_path") == file) & F.col("line_no").between(first, last)).orderBy("line_no").collect()
         return [f"{r.line_no:>5}  {r.line}" for r in rows]
 
-    def show(self, name: str, detail: str = "full") -> str:
+    def show(self, names: str, detail: str = "full") -> str:
+        """One symbol, or up to MULTI of a comma-separated list with a share of the budget each."""
+        asked = [n.strip() for n in names.split(",") if n.strip()]
+        if len(asked) <= 1:
+            return self.show_one(names.strip(), detail, SHOW)
+        return "\n\n".join(self.show_one(n, detail, max(700, 4000 // len(asked[:MULTI]))) for n in asked[:MULTI])
+
+    def is_stub(self, body: list[str]) -> bool:
+        """Whether a body is one line that returns a constant, passes or is not implemented."""
+        code = [x for x in (b[5:].strip() for b in body[1:]) if x and not x.startswith(("#", "//", '"""', "'"))]
+        return len(code) == 1 and bool(re.fullmatch(r"return(?: (?:None|True|False|null|\[\]|\{\}|\(\)|-?\d+|'[^']*'|\"[^\"]*\"))?;?|pass|\.\.\.|raise NotImplementedError.*", code[0]))
+
+    def chain(self, start: str, levels: int = 3) -> str:
+        """What a callee calls in turn, a few levels deep, through references and built values too."""
+        at, out = [start], []
+        for _ in range(levels):
+            rows = self.links.where(F.col("src").isin(at) & (F.col("relation") != "inherits")).select("dst").distinct().orderBy("dst").limit(5).collect()
+            at = [r.dst for r in rows if r.dst != start]
+            if not at:
+                break
+            out.append(", ".join(at))
+        return " which calls ".join(out)
+
+    def show_one(self, name: str, detail: str, budget: int) -> str:
         status, ids = self.lookup(name)
         if status != "ok":
             return status + "".join(f"\n  {i}" for i in ids)
         s = self.symbols.where(F.col("id") == ids[0]).first()
         out = [f"{s.id}  {s.kind}  {s.file}:{s.line}-{s.end_line}", *(s.decorators or []), *filter(None, [s.signature, s.doc])]
         if detail == "signature":
-            return fit(out, SHOW)
+            return fit(out, budget)
         pairs = [("calls", "src", "dst", CALLEES), ("called by", "dst", "src", CALLERS)]
         for title, own, other, most in pairs:
             rows = self.links.where(F.col(own) == s.id).orderBy(other, "relation")
@@ -175,9 +205,15 @@ class Repository:
             out += ["members:"] * bool(members) + [f"  {m.sig or m.name}" for m in members]
         missing = self.edges.where((F.col("src") == s.id) & F.col("target").isNull() & F.col("kind").isNull()).select("dst").distinct().orderBy("dst").limit(6).collect()
         out += ["not resolved: " + ", ".join(r.dst for r in missing)] * bool(missing)
-        if detail == "full":
-            out += self.source(s.file, s.line, s.end_line)
-        return fit(out, SHOW)
+        body = self.source(s.file, s.line, s.end_line)
+        out += ["a stub: its body is one trivial line"] * (s.kind == "function" and self.is_stub(body))
+        tiny = self.links.where((F.col("src") == s.id) & (F.col("relation") == "call")).join(self.symbols.select(F.col("id").alias("dst"), "kind", "file", F.col("line").alias("first"), F.col("end_line").alias("last")), "dst")
+        for c in tiny.where((F.col("kind") == "function") & (F.col("last") - F.col("first") < TINY_LINES)).orderBy("dst").limit(6).collect():
+            out += [f"{c.dst} is short:", *self.source(c.file, c.first, c.last)]
+        for r in self.links.where((F.col("src") == s.id) & F.col("relation").isin("reference", "built_by")).select("dst").distinct().orderBy("dst").limit(3).collect():
+            after = self.chain(r.dst)
+            out += [f"{r.dst} calls {after}"] * bool(after)
+        return fit(out + body if detail == "full" else out, budget)
 
     # trace
 

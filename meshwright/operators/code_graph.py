@@ -115,15 +115,29 @@ def normal_path(folder: Column, relative: Column) -> Column:
 
 
 def typescript_modules(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, module_file) of relative module paths: suffixes are tried in order, then index files."""
+    """(key, module_file) of module paths relative to the file, or from the root (/): suffixes are tried in order, then index files."""
     folder = F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise("")
-    path = normal_path(folder, F.col("module"))
+    path = F.when(F.col("module").startswith("/"), normal_path(F.lit(""), F.col("module"))).otherwise(normal_path(folder, F.col("module")))
     probes = [F.concat(path, F.lit(s)) for s in TS_SUFFIXES] + [F.concat(path, F.lit("/index" + s)) for s in TS_SUFFIXES]
-    tries = refs.where(F.col("module").startswith(".")).select("key", F.posexplode(F.array(*probes)).alias("rank", "module_file"))
+    tries = refs.where(F.col("module").rlike("^[./]")).select("key", F.posexplode(F.array(*probes)).alias("rank", "module_file"))
     files = nodes.where("kind = 'module'").select(F.col("file").alias("module_file")).distinct()
     return tries.join(files, "module_file").groupBy("key").agg(F.min_by("module_file", "rank").alias("module_file"))
 
 
+def expand_aliases(refs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Refs (key, file, module, ...) whose module has an alias point from the root.
+
+    The nearest folder above the file that has a fitting alias decides, then the longest
+    prefix. Folders of a file are exploded, so the join is on a key.
+    """
+    bare = refs.where(~F.col("module").rlike("^[./]"))
+    up = bare.select("key", "module", F.explode(F.concat(F.array(F.lit("")), R.ancestors(F.col("file")))).alias("folder"))
+    fit = up.join(aliases, "folder").where(F.col("module").startswith(F.col("prefix")))
+    path = F.concat(F.lit("/"), F.col("target"), F.lit("/"), F.expr("substring(module, length(prefix) + 1)"))
+    best = fit.groupBy("key").agg(F.max_by(path, F.struct(F.length("folder"), F.length("prefix"))).alias("_path"))
+    return refs.join(best, "key", "left").withColumn("module", F.coalesce("_path", "module")).drop("_path")
+
+
 def typescript_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, target) of refs (key, file, module, name), followed through re-exports."""
     modules = nodes.where("kind = 'module'").select("file", F.try_element_at("extra", F.lit("default_export")).alias("default"), F.try_element_at("extra", F.lit("reexports")).alias("again"))
@@ -173,8 +187,11 @@ def type_targets(refs: DataFrame, nodes: DataFrame, attributes: DataFrame) -> Da
     return found.groupBy("key").agg(F.min("target").alias("target"))
 
 
-def resolve(evidence: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): merged nodes and raw edges with ``target``, null where unresolved, and ``relation_name``."""
+def resolve(evidence: DataFrame, raw: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): merged nodes and raw edges with ``target``, null where unresolved, and ``relation_name``.
+
+    ``aliases`` are (folder, prefix, target) of TypeScript configurations.
+    """
     nodes = materialize(merge_nodes(evidence), "nodes")
     edges = materialize(numbered(raw).dropDuplicates(["eid"]), "edges")
     exact = edges.join(nodes.select(F.col("identity").alias("dst")), "dst").where("tier = 0").select("eid", F.col("dst").alias("target"))
@@ -186,6 +203,7 @@ def resolve(evidence: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     py = code.where(python & F.col("alias")).select(F.col("eid").alias("key"), "file", dotted.alias("dotted")).where("dotted is not null")
     far = dotted_targets(py, nodes).select(F.col("key").alias("eid"), "target")
     ts = code.where(~python & F.col("module").isNotNull() & F.col("name").isNotNull()).select(F.col("eid").alias("key"), "file", "module", "name")
+    ts = ts if aliases is None else expand_aliases(ts, aliases)
     far = far.unionByName(typescript_targets(ts, nodes).select(F.col("key").alias("eid"), "target"))
     # base classes, then members along them
     held = nodes.where("kind = 'class'").select(F.col("identity").alias("cls"), F.col("file").alias("attr_file"), F.explode("attr_types").alias("attr", "ref"))

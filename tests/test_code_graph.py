@@ -140,6 +140,25 @@ def test_views(repo, tmp_path):
         repo.diagram("x", "x.png")
 
 
+def test_path_aliases(spark):
+    files = {
+        "web/tsconfig.json": '{ // base\n "extends": "./base", }',
+        "web/base.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "@/deep/*": ["other/*"],}}}',
+        "web/src/a.ts": "export function f() {}\n",
+        "web/other/a.ts": "export function g() {}\n",
+        "web/src/b.ts": "import { f } from '@/a';\nimport { g } from '@/deep/a';\nfunction h() { f(); g(); }\n",
+    }
+    found = {(r.src, r.dst) for r in Repository(spark, texts=files).graph.where("relation = 'calls'").collect()}
+    assert found == {("web/src/b.ts:h", "web/src/a.ts:f"), ("web/src/b.ts:h", "web/other/a.ts:g")}
+
+
+def test_show_tells_more(repo):
+    assert "a stub" in repo.show("honk")
+    both = repo.show("make_queue, Engine.start")
+    assert "app/service.py:make_queue" in both and "app/models.py:Engine.start" in both
+    assert "app/service.py:make_car calls app/models.py:Car" in repo.show("run")
+
+
 def test_snapshots_differ(spark, repo):
     new = Repository(spark, texts={**{k: v for k, v in FILES.items() if k != "web/util.ts"}, "app/base.py": "x = 1\n", "new.py": "y = 2\n"})
     assert {(r.rel_path, r.status) for r in new.changed_since(repo).collect()} == {("web/util.ts", "removed"), ("app/base.py", "changed"), ("new.py", "added")}
