@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import order_buckets
 
-SAMPLES, BUCKET_BYTES = 24, 8 << 20
+SAMPLES, BUCKET_BYTES = 20, 8 << 20
 #: Resolution and range of ln a in the upper part of the packed long.
 _SCALE, _LEAST, _LOW_BITS = 1 << 24, 48, 32
+_ODD = 0x2545F491
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
@@ -40,7 +41,8 @@ def packed_sample(term: Column, log_weight: Column, sample: int) -> Column:
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b) - r
     upper = F.floor((F.greatest(F.least(log_a, F.lit(float(_LEAST))), F.lit(-float(_LEAST))) + F.lit(float(_LEAST))) * F.lit(float(_SCALE)))
-    lower = F.xxhash64(term, t, F.lit(sample)).bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    # h is of term and sample; an odd product of t makes its low bits a hash of all three
+    lower = h.bitwiseXOR(t * F.lit(_ODD)).bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
     return F.shiftleft(upper.cast("bigint"), _LOW_BITS).bitwiseOR(lower)
 
 
