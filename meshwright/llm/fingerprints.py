@@ -35,7 +35,7 @@ def packed_sample(term: Column, log_weight: Column, sample: int) -> Column:
     """ln a (upper bits) and a hash of (term, t) (lower 32 bits) of one term in one sample."""
     h, g = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
     r = -F.log(_unit(h, 0) * _unit(h, 21))
-    r = F.greatest(r, F.lit(1e-9))
+    r = F.greatest(r, F.lit(1e-6))  # so that t times _ODD stays a long
     b = _unit(h, 42)
     log_c = F.log(-F.log(_unit(g, 0) * _unit(g, 21)) + F.lit(1e-12))
     t = F.floor(log_weight / r + b)
