@@ -24,21 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import utf8
-from .tokens import CACHE_CHUNK, CACHE_ENTRIES, chunks, vocabulary
+from .tokens import CACHE_CHUNK, CACHE_ENTRIES, PIECE, PLAIN, byte_characters, chunks, vocabulary
 
 #: Text and distinct pieces taken up at a time by a task.
 PART_BYTES, PART_PIECES = 6 << 20, 300_000
-#: Characters whose composition, case and class need no library: ASCII, and precomposed Latin letters.
-_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-#: Fixed value: the file's split pattern, for plain characters.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
-
-
-def byte_characters() -> list[str]:
-    """The printable character of each byte: itself if it is visible Latin-1, else the next from 256 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in visible]
-    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class PairIndexEncoder:
@@ -169,8 +158,8 @@ class PairIndexEncoder:
         return self._plain_pieces(chunk)
 
     def _plain_pieces(self, chunk: str) -> list[bytes | int]:
-        if _PLAIN.fullmatch(chunk):
-            return [p.encode() for p in _PIECE.findall(chunk.lower())]
+        if PLAIN.fullmatch(chunk):
+            return [p.encode() for p in PIECE.findall(chunk.lower())]
         # other characters: the library's rules for composition, case and character classes
         low = self.library.normalizer.normalize_str(chunk)
         back = _unprintable()
@@ -179,22 +168,18 @@ class PairIndexEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes; null counts as empty."""
         split = [chunks(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         known = self.known
         missing = list({c for parts in split for c in parts if c not in known})
-        if missing:
-            cut = [self.pieces(c) for c in missing]
-            distinct = list({p for parts in cut for p in parts if isinstance(p, bytes)})
-            ids = {p: x.tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
-            new = {c: b"".join([ids[p] if isinstance(p, bytes) else np.array([p], "<u4").tobytes() for p in parts]) for c, parts in zip(missing, cut, strict=True)}
-            long = {c for c in new if len(c) > CACHE_CHUNK}
-            known.update(new)
-            out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-            for c in long:
-                del known[c]
-            return out
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        if not missing:
+            return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        cut = [self.pieces(c) for c in missing]
+        distinct = list({p for parts in cut for p in parts if isinstance(p, bytes)})
+        ids = {p: x.tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
+        new = {c: b"".join([ids[p] if isinstance(p, bytes) else np.array([p], "<u4").tobytes() for p in parts]) for c, parts in zip(missing, cut, strict=True)}
+        out = [b"".join([new[c] if c in new else known[c] for c in parts]) for parts in split]
+        room = max(0, CACHE_ENTRIES - len(known))
+        known.update([(c, x) for c, x in new.items() if len(c) <= CACHE_CHUNK][:room])
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The text (UTF-8) of ids: the file has no decoder, so token names stand with spaces between."""

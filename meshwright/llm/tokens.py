@@ -10,12 +10,17 @@ a chunk, special tokens included, is left to the library. Chunks met before are
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks kept by one Python worker; the table is emptied when full. Longer chunks are not kept.
-CACHE_ENTRIES, CACHE_CHUNK = 600_000, 64
+#: Chunks kept by one Python worker: the first so many that are short. Frequent ones come early.
+CACHE_ENTRIES, CACHE_CHUNK = 800_000, 64
+#: Chunks whose characters need no composition and have plain classes: ASCII and precomposed Latin letters.
+PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+#: Fixed value: the split pattern of the file, for plain characters in lower case.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 _TO_SPACE = str.maketrans("\t\n\r", "   ")
 
 
@@ -26,6 +31,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> list[str]:
+    """The printable character of each byte: itself if it is visible Latin-1, else the next from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 def chunks(text: str) -> list[str]:
     """The non-empty parts of a text between spaces, tabs and line ends."""
     return [c for c in text.translate(_TO_SPACE).split(" ") if c]
@@ -44,6 +56,7 @@ class ChunkEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.printable = dict(enumerate(byte_characters()))
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -56,15 +69,33 @@ class ChunkEncoder:
         """Ids of each text as bytes; null counts as empty."""
         split = [chunks(t) if t else [] for t in texts]
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
         missing = list({c for parts in split for c in parts if c not in known})
-        long: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(c) <= CACHE_CHUNK else long)[c] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            return [b"".join([long[c] if c in long else known[c] for c in parts]) for parts in split]
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        if not missing:
+            return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        rare: dict[str, bytes] = {}
+        for c, ids in zip(missing, self._encode_chunks(missing), strict=True):
+            (known if len(c) <= CACHE_CHUNK and len(known) < CACHE_ENTRIES else rare)[c] = ids
+        if not rare:
+            return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        return [b"".join([rare[c] if c in rare else known[c] for c in parts]) for parts in split]
+
+    def _encode_chunks(self, missing: list[str]) -> list[bytes]:
+        """Ids of chunks: plain ones piece by piece by the library's model, others by the whole library."""
+        tokenize, printable = self.library.model.tokenize, self.printable
+        pieces: dict[str, bytes] = {}
+        out: list[bytes | None] = []
+        other: list[str] = []
+        for c in missing:
+            if "<|" in c or not PLAIN.fullmatch(c):  # a special token may stand there
+                out.append(None)
+                other.append(c)
+                continue
+            ids = []
+            for p in PIECE.findall(c.lower()):
+                got = pieces.get(p)
+                if got is None:
+                    got = pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(p.encode().decode("latin-1").translate(printable))])
+                ids.append(got)
+            out.append(b"".join(ids))
+        rest = iter(self.library.encode_batch_fast(other, add_special_tokens=False) if other else ())
+        return [np.array(next(rest).ids, "<u4").tobytes() if x is None else x for x in out]
