@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import utf8
-from .tokens import CACHE_CHUNK, CACHE_ENTRIES, PIECE, PLAIN, byte_characters, chunks, vocabulary
+from .tokens import PIECE, PLAIN, byte_characters, look_up, vocabulary
 
 #: Text and distinct pieces taken up at a time by a task.
 PART_BYTES, PART_PIECES = 6 << 20, 300_000
@@ -167,19 +167,13 @@ class PairIndexEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes; null counts as empty."""
-        split = [chunks(t) if t else [] for t in texts]
-        known = self.known
-        missing = list({c for parts in split for c in parts if c not in known})
-        if not missing:
-            return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        return look_up(texts, self.known, self._encode_chunks)
+
+    def _encode_chunks(self, missing: list[str]) -> list[bytes]:
         cut = [self.pieces(c) for c in missing]
         distinct = list({p for parts in cut for p in parts if isinstance(p, bytes)})
         ids = {p: x.tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
-        new = {c: b"".join([ids[p] if isinstance(p, bytes) else np.array([p], "<u4").tobytes() for p in parts]) for c, parts in zip(missing, cut, strict=True)}
-        out = [b"".join([new[c] if c in new else known[c] for c in parts]) for parts in split]
-        room = max(0, CACHE_ENTRIES - len(known))
-        known.update([(c, x) for c, x in new.items() if len(c) <= CACHE_CHUNK][:room])
-        return out
+        return [b"".join([ids[p] if isinstance(p, bytes) else np.array([p], "<u4").tobytes() for p in parts]) for parts in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """The text (UTF-8) of ids: the file has no decoder, so token names stand with spaces between."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -21,7 +21,6 @@ CACHE_ENTRIES, CACHE_CHUNK = 800_000, 64
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 #: Fixed value: the split pattern of the file, for plain characters in lower case.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
-_TO_SPACE = str.maketrans("\t\n\r", "   ")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -40,7 +39,21 @@ def byte_characters() -> list[str]:
 
 def chunks(text: str) -> list[str]:
     """The non-empty parts of a text between spaces, tabs and line ends."""
-    return [c for c in text.translate(_TO_SPACE).split(" ") if c]
+    return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
+
+
+def look_up(texts: Iterable[str | None], known: dict[str, bytes], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """The joined ids of each text's chunks: known ones by one look-up each, the others encoded once and kept while there is room."""
+    split = [chunks(t) if t else [] for t in texts]
+    found = [list(map(known.get, parts)) for parts in split]
+    open_ = [i for i, ids in enumerate(found) if None in ids]
+    missing = list({c for i in open_ for c, x in zip(split[i], found[i], strict=True) if x is None})
+    new = dict(zip(missing, encode(missing), strict=True)) if missing else {}
+    for i in open_:
+        found[i] = [new[c] if x is None else x for c, x in zip(split[i], found[i], strict=True)]
+    room = max(0, CACHE_ENTRIES - len(known))
+    known.update([(c, x) for c, x in new.items() if len(c) <= CACHE_CHUNK][:room])
+    return [b"".join(ids) for ids in found]
 
 
 class ChunkEncoder:
@@ -67,17 +80,7 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty."""
-        split = [chunks(t) if t else [] for t in texts]
-        known = self.known
-        missing = list({c for parts in split for c in parts if c not in known})
-        if not missing:
-            return [b"".join(map(known.__getitem__, parts)) for parts in split]
-        rare: dict[str, bytes] = {}
-        for c, ids in zip(missing, self._encode_chunks(missing), strict=True):
-            (known if len(c) <= CACHE_CHUNK and len(known) < CACHE_ENTRIES else rare)[c] = ids
-        if not rare:
-            return [b"".join(map(known.__getitem__, parts)) for parts in split]
-        return [b"".join([rare[c] if c in rare else known[c] for c in parts]) for parts in split]
+        return look_up(texts, self.known, self._encode_chunks)
 
     def _encode_chunks(self, missing: list[str]) -> list[bytes]:
         """Ids of chunks: plain ones piece by piece by the library's model, others by the whole library."""
