@@ -32,55 +32,75 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 N_FEATURES = 18
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int, list[str], list[str]]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, words, lines) of a text.
-
-    ``n_repeat_words`` counts the words that lie in a 5-word window which the text has
-    twice or more, first occurrences included.
-    """
-    words = WORD.findall(text)
+def split_words(text: str) -> tuple[list[str], list[list[str]]]:
+    """The lines of a text and the words of each; a line feed separates words, so none crosses lines."""
     lines = text.split("\n")
+    return lines, [WORD.findall(line) for line in lines]
+
+
+def repeated_words(words: list[str]) -> int:
+    """Words that lie in a 5-word window which the sequence has twice or more, first ones included."""
+    if len(words) < 6:
+        return 0
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.array([number[w] for w in words], np.int64)
+    if len(number) <= 4096:  # five ids fit in a long
+        keys = ids[:-4]
+        for k in range(1, 5):
+            keys = keys << 12 | ids[k : len(ids) - 4 + k]
+        distinct, each, often = np.unique(keys, return_inverse=True, return_counts=True)
+    else:
+        distinct, each, often = np.unique(np.stack([ids[k : len(ids) - 4 + k] for k in range(5)], 1), axis=0, return_inverse=True, return_counts=True)
+    if len(distinct) == len(each):
+        return 0
+    begins = np.flatnonzero(often[each.ravel()] > 1)
+    inside = np.zeros(len(words) + 1, np.int64)
+    np.add.at(inside, begins, 1)
+    np.add.at(inside, begins + 5, -1)
+    return int((np.cumsum(inside)[:-1] > 0).sum())
+
+
+def base_counts(text: str) -> tuple[int, int, int, int, int]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text."""
+    return _base(text, *split_words(text))
+
+
+def _base(text: str, lines: list[str], by_line: list[list[str]]) -> tuple[int, int, int, int, int]:
     seen: set[str] = set()
     dup = 0
-    for line in lines:
-        if WORD.search(line):
+    for line, words in zip(lines, by_line, strict=True):
+        if words:
             dup += line in seen
             seen.add(line)
-    repeat = 0
-    if len(words) >= 6:
-        ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        grams = list(zip(*(([ids[w] for w in words][k:]) for k in range(5)), strict=False))
-        if len(set(grams)) < len(grams):
-            often = Counter(grams)
-            until = 0
-            for i, g in enumerate(grams):
-                if often[g] > 1:
-                    repeat += i + 5 - max(i, until)
-                    until = i + 5
-    return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeat, words, lines
-
-
-def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    words = [w for part in by_line for w in part]
+    return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words)
+
+
+#: By code point: 1 for a letter, 2 for an upper-case one, 4 for a digit. What lies beyond counts as a letter.
+_KIND = np.array([(chr(c).isalpha()) + 2 * chr(c).isupper() + 4 * chr(c).isdigit() for c in range(0x3000)] + [1], np.uint8)
+_MARK = re.compile("[^\\w.,;:'\")]|_")
+
+
+def line_features(lines: list[str], by_line: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(lines with a word x N_FEATURES of 0 to 1, word characters of each); other lines are left out."""
     rows, weight = [], []
     counts = Counter(lines)
-    everything = Counter(w for line in lines for w in WORD.findall(line))
+    everything = Counter(w for words in by_line for w in words)
     total = max(1, sum(everything.values()))
-    commonest = everything.most_common(1)[0][1] / total if everything else 0.0
+    commonest = max(everything.values()) / total if everything else 0.0
+    codes = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KIND[np.minimum(codes, 0x3000)]
+    ends = np.cumsum([len(line) + 1 for line in lines]) - 1
+    per_line = [np.diff(np.concatenate([[0], np.cumsum((kind & bit) > 0)])[np.concatenate([[0], ends])]).tolist() for bit in (1, 2, 4)]
     seen: set[str] = set()
-    for line in lines:
-        words = WORD.findall(line)
+    for line, words, letters, upper, digits in zip(lines, by_line, *per_line, strict=True):
         if not words:
             continue
         chars = sum(map(len, words))
         n = len(words)
-        letters = sum(map(str.isalpha, line))
-        upper = sum(map(str.isupper, line))
         symbols = len(SYMBOL.findall(line))
-        digits = sum(map(str.isdigit, line))
-        bangs = line.count("!")
         distinct = len(set(words)) / n
-        marked = sum(not w[-1].isalnum() and w[-1] not in ".,;:'\")" for w in words) / n
+        marked = len(_MARK.findall("".join([w[-1] for w in words]))) / n
         rows.append(
             (
                 1.0,
@@ -88,7 +108,7 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 min(1.0, 4 * symbols / chars),
                 upper / max(1, letters),
                 float(letters > 0 and upper > 0.6 * letters),
-                min(1.0, 8 * bangs / chars),
+                min(1.0, 8 * line.count("!") / chars),
                 marked,
                 1 - distinct if n >= 5 else 0.0,
                 float(n >= 20 and distinct < 0.3),
@@ -98,8 +118,8 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 1 - letters / max(1, chars),
                 min(1.0, n / 40),
                 float(n < 4),
-                float(line.rstrip()[-1:] in ".!?"),
-                min(1.0, 4 * sum(w == "|" for w in words) / n),
+                float(words[-1][-1] in ".!?"),
+                min(1.0, 4 * words.count("|") / n),
                 commonest,
             )
         )
@@ -194,7 +214,7 @@ def fit_field(seqs: list[np.ndarray], good: list[bool], rounds: int = 3) -> Chai
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [line_features(t.split("\n"))[0].astype(np.float32) for t in batch.column(0).to_pylist()]
+        rows = [line_features(*split_words(t))[0].astype(np.float32) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_pydict({"label": batch.column(1), "rows": [r.tobytes() for r in rows]}, pa.schema([("label", pa.int32()), ("rows", pa.binary())]))
 
 
@@ -221,11 +241,12 @@ def _judge(field: ChainField, least: float):
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                n, chars, symbols, dup, repeat, _, lines = base_counts(text or "")
+                lines, by_line = split_words(text or "")
+                n, chars, symbols, dup, repeat = _base(text or "", lines, by_line)
                 failed = n < 10 or 100 * repeat > 20 * n
                 share = 0.0
                 if n:
-                    x, w = line_features(lines)
+                    x, w = line_features(lines, by_line)
                     share = float(w[field.viterbi(x) == 0].sum() / w.sum())
                 out.append((n, chars, symbols, dup, repeat, failed, not failed and share >= least, share))
             cols = list(zip(*out, strict=True)) or [()] * 8
