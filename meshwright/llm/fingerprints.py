@@ -103,6 +103,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes:
     del last
     dealt = base.withColumn("_in", F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("ghost")), F.when(ghost_in.isNotNull(), F.struct(ghost_in.alias("bucket"), F.lit(1).alias("ghost"))))))
     dealt = dealt.select("doc_id", "text", F.explode("_in").alias("_in")).select("doc_id", "text", "_in.bucket", "_in.ghost")
+    # a bucket or so for each task: terms take far more room than the texts by whose size tasks would be coalesced
+    dealt = dealt.repartition(buckets.number, "bucket")
     w = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     rows = dealt.withColumn("rn", F.row_number().over(w)).withColumn("_next", F.lead("text").over(w))
     n = F.length("text")
