@@ -10,6 +10,12 @@ Sketching", 2010):
 and the sample is the (term, t) of least ln a. Two texts agree in a sample with probability
 sum of minima / sum of maxima of their weights. ln a and a hash of (term, t) travel in one
 long (the order of longs is the order of ln a), so a sample is a plain ``min``.
+
+The samples of a term depend on the term and its weight alone, so they are drawn once for
+all texts of a bucket that have the term equally often.
+
+The share of equal samples has a standard error of sqrt(p (1 - p) / SAMPLES) at likeness p:
+with 64 samples at most 0.063, and 0.050 at 0.8.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import order_buckets
 
-SAMPLES, BUCKET_BYTES = 20, 8 << 20
+SAMPLES, BUCKET_BYTES = 64, 8 << 20
 #: Resolution and range of ln a in the upper part of the packed long.
 _SCALE, _LEAST, _LOW_BITS = 1 << 24, 48, 32
 _ODD = 0x2545F491
@@ -47,28 +53,35 @@ def packed_sample(term: Column, log_weight: Column, sample: int) -> Column:
 
 
 def _fingerprint(mins: list[Column]) -> Column:
+    """The low 32 bits of each sample as an array of ints: half the size of their digits, which are made at the end."""
+    return F.array(*(F.shiftright(F.shiftleft(m, 64 - _LOW_BITS), 64 - _LOW_BITS).cast("int") for m in mins))
+
+
+def _digits(ints: Column) -> Column:
     """Eight hex digits of each sample; empty for a text without words."""
-    return F.concat_ws("", *(F.lpad(F.lower(F.hex(m.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))), 8, "0") for m in mins))
+    return F.coalesce(F.lower(F.array_join(F.transform(ints, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))), 8, "0")), "")), F.lit(""))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
-    """The share of equal samples of two fingerprints, an estimate of generalised Jaccard; 1 for two without words."""
-    same = [(F.substring(a, 8 * i + 1, 8) == F.substring(b, 8 * i + 1, 8)).cast("int") for i in range(samples)]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(total / F.lit(float(samples)))
+    """The share of equal samples of two arrays, an estimate of generalised Jaccard; 1 for two without words (null)."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same / F.lit(float(samples)))
 
 
-def sign_terms(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+def sign_terms(texts: DataFrame, keys: list[str], samples: int = SAMPLES, within: int = 0) -> DataFrame:
     """``keys`` and m0, m1, ...: the packed samples of each row of ``texts`` that has a word.
 
-    ``texts`` has the keys, which tell rows apart, and ``text``. If it is already dealt by
-    some of the keys, nothing is shuffled.
+    ``texts`` has the keys, which tell rows apart, and ``text``. Samples are drawn once for
+    all rows of the same first ``within`` keys that have a term equally often; if ``texts``
+    is already dealt by some of those, nothing is shuffled.
     """
+    own, rest = keys[:within], keys[within:]
     words = texts.select(*keys, F.explode(F.split("text", WORD_SPLIT)).alias("_word")).where("_word <> ''")
-    terms = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.log(F.count("*").cast("double")).alias("_s"))
-    return terms.groupBy(*keys).agg(*(F.min(packed_sample(F.col("_term"), F.col("_s"), i)).alias(f"m{i}") for i in range(samples)))
+    terms = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_n"))
+    shared = terms.groupBy(*own, "_term", "_n").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    drawn = F.array(*(packed_sample(F.col("_term"), F.log(F.col("_n").cast("double")), i) for i in range(samples)))
+    each = shared.select(*own, "_rows", drawn.alias("_drawn")).select(*own, F.explode("_rows").alias("_row"), "_drawn").select(*own, "_row.*", "_drawn")
+    return each.groupBy(*keys).agg(*(F.min(F.col("_drawn")[i]).alias(f"m{i}") for i in range(samples)))
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -102,9 +115,9 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes:
         ghost_in = F.when(is_top, F.try_element_at(lookup, own.cast("int")).cast("bigint"))
     del last
     dealt = base.withColumn("_in", F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("ghost")), F.when(ghost_in.isNotNull(), F.struct(ghost_in.alias("bucket"), F.lit(1).alias("ghost"))))))
-    dealt = dealt.select("doc_id", "text", F.explode("_in").alias("_in")).select("doc_id", "text", "_in.bucket", "_in.ghost")
-    # a bucket or so for each task: terms take far more room than the texts by whose size tasks would be coalesced
-    dealt = dealt.repartition(buckets.number, "bucket")
+    dealt = dealt.select("doc_id", "text", F.explode("_in").alias("_in")).select("doc_id", "text", F.col("_in.bucket").cast("int").alias("bucket"), "_in.ghost")
+    # just one bucket for each task: terms take far more room than the texts, so two that meet by hash would spill
+    dealt = dealt.repartitionById(buckets.number, F.col("bucket"))
     w = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     rows = dealt.withColumn("rn", F.row_number().over(w)).withColumn("_next", F.lead("text").over(w))
     n = F.length("text")
@@ -113,18 +126,18 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes:
     rows = rows.withColumn("edited", edited)
     both = rows.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("_t"), "ghost")
     both = both.where("ghost = 0 or _t.which = 0").select("bucket", "rn", "_t.which", "_t.text")
-    signed = sign_terms(both, ["bucket", "rn", "which"], samples)
+    signed = sign_terms(both, ["bucket", "rn", "which"], samples, within=1)
     prints = signed.select("bucket", "rn", "which", _fingerprint([F.col(f"m{i}") for i in range(samples)]).alias("fp"))
     pair = prints.groupBy("bucket", "rn").agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
     facts = rows.select("bucket", "rn", "ghost", "doc_id", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    joined = facts.join(pair, ["bucket", "rn"], "left").withColumn("fp", F.coalesce("fp", F.lit(""))).withColumn("efp", F.coalesce("efp", F.lit("")))
-    joined = joined.withColumn("_nfp", F.coalesce(F.lead("fp").over(Window.partitionBy("bucket").orderBy("rn")), F.lit("")))
+    joined = facts.join(pair, ["bucket", "rn"], "left")
+    joined = joined.withColumn("_nfp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("rn")))
     return joined.where("ghost = 0").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.col("fp").alias("fingerprint"),
-        F.col("efp").alias("edited_fingerprint"),
+        _digits(F.col("fp")).alias("fingerprint"),
+        _digits(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp"), samples).alias("near_edited"),
         likeness(F.col("fp"), F.col("_nfp"), samples).alias("near_next"),
     )
