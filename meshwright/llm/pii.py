@@ -19,7 +19,7 @@ from ..operators.storage import materialize
 #: Detection patterns by type, in the order in which they win.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-zA-Z_\-]*[0-9])(?=[0-9a-zA-Z_\-]*[a-zA-Z])(?:[0-9a-f]{32,}|(?:sk|pk|ghp|gho|xox[a-z])[_\-][0-9A-Za-z_\-]{16,}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-zA-Z_\-]*[0-9])(?=[0-9a-zA-Z_\-]*[a-zA-Z])(?:[0-9a-fA-F]{32,}|(?:sk|pk|ghp|gho|xox[a-z])[_\-][0-9A-Za-z_\-]{16,}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -59,10 +59,9 @@ def _nth(hexes: Column, i: Column) -> Column:
     return F.conv(F.substring(hexes, at, F.lit(4)), 16, 10).cast("int")
 
 
-def _letters(entity: Column, hexes: Column, digits: str = "0123456789") -> Column:
+def _letters(entity: Column, hexes: Column, digits: str = "0123456789", low: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
     """The entity with every digit and letter replaced by one of its class; other characters stay."""
-    chars = F.split(entity, "")
-    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    chars, up = F.split(entity, ""), low.upper()
 
     def one(c: Column, i: Column) -> Column:
         r = _nth(hexes, i)
@@ -96,8 +95,10 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     tld = F.regexp_extract(entity, r"\.[A-Za-z0-9\-]+$", 0)
     email = F.concat(_letters(F.regexp_replace(entity, r"\.[A-Za-z0-9\-]+$", ""), hexes), tld)
     body = F.regexp_replace(entity, r"^(?:sk|pk|ghp|gho|xox[a-z])[_\-]|^AKIA", "")
-    hexed = entity.rlike("^[0-9a-f]{32,}$")
+    # hex stays hex in its case; where both cases occur, each character keeps its own
+    hexed = entity.rlike("^[0-9a-fA-F]{32,}$")
     long_hex = F.substring(F.repeat(F.concat(hexes, F.reverse(hexes)), 64), F.lit(1), F.length(entity))
+    long_hex = F.when(~entity.rlike("[A-F]"), long_hex).when(~entity.rlike("[a-f]"), F.upper(long_hex)).otherwise(_letters(entity, hexes, low="abcdef"))
     secret = F.when(hexed, long_hex).otherwise(F.concat(F.substring(entity, F.lit(1), F.length(entity) - F.length(body)), _letters(body, hexes)))
     iban = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), hexes))
     octet = lambda i: F.pmod(_nth(hexes, F.lit(i)), F.lit(254)) + F.lit(1)

@@ -229,6 +229,18 @@ def test_surrogates(spark, empty):
     assert pii.replace_pii(empty).collect() == []
 
 
+def test_hex_secrets_of_any_case(spark):
+    upper, mixed = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ecF7C5B09fE5949719b6b82bc4"
+    rows = [(0, f'TOKEN = "{upper}"'), (1, f"again {upper}."), (2, f"key {mixed}"), (3, "A" * 40 + " " + "1" * 40)]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_entities for i in range(4)] == [1, 1, 1, 0]
+    new = re.fullmatch('TOKEN = "([0-9A-F]{40})"', got[0].text)[1]
+    assert new != upper and got[1].text == f"again {new}."
+    other = got[2].text.removeprefix("key ")
+    shape = lambda s: re.sub("[a-f]", "a", re.sub("[A-F]", "A", re.sub("[0-9]", "0", s)))
+    assert other != mixed and shape(other) == shape(mixed)
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"Mr. Person{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]  # 16 surnames to choose from
     entities = spark.createDataFrame([(n,) for n in names], "entity string")
