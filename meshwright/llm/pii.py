@@ -27,15 +27,18 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
-#: Given-name and surname stand-ins by gender, in Latin script; others are mapped letter by letter.
+#: Given-name stand-ins by gender, in Latin script; names in others are mapped letter by letter.
 GIVEN_MALE = ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Marco", "Nils", "Oscar", "Paul")
 GIVEN_FEMALE = ("Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Hanna", "Irene", "Julia", "Karla", "Laura", "Marta", "Nina", "Olga", "Paula")
-SURNAMES = ("Alder", "Birch", "Cedar", "Dale", "Elm", "Field", "Grove", "Heath", "Isle", "Jade", "Knoll", "Lake", "Moor", "North", "Oak", "Pine")
+#: Surnames are made of these, at first of three, of one more in each further attempt.
+SYLLABLES, FIRST_SYLLABLES = tuple(c + v for c in ("b", "br", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "st", "t", "tr", "v", "w", "z") for v in "aeiou"), 3
 MALE_TITLE = r"^(?:Mr|Herr|Monsieur|Señor|Sr)\.? "
 #: Any entity, and a cheap look for what each must have: a digit, an @ or a title.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9@]|[MHFS](?:rs?|s|iss|me|onsieur|adame|err|rau|ra|eñora?)[. ]"
 ATTEMPTS = 8
+#: Letters or syllables by which the last draw of a name is longer still.
+LAST_DRAW = 12
 
 
 def kind_of(entity: Column) -> Column:
@@ -109,10 +112,13 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     name = F.substring(entity, F.length(title) + 1, F.length(entity))
     of = lambda names, i: F.element_at(F.array(*map(F.lit, names)), F.pmod(_nth(hexes, F.lit(i)), F.lit(len(names))) + F.lit(1))
     given = F.when(entity.rlike(MALE_TITLE), of(GIVEN_MALE, 0)).otherwise(of(GIVEN_FEMALE, 0))
-    # two names: given and surname; one name after a title: a surname; a number of attempts widens the choice
-    more = F.when(attempt > 1, F.concat(F.lit("-"), of(SURNAMES, 3))).otherwise(F.lit(""))
-    latin = F.concat(F.when(name.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), of(SURNAMES, 1), more)
-    named = F.concat(title, F.when(name.rlike(r"^[\p{IsLatin} ]+$"), latin).otherwise(_letters(name, hexes)))
+    # two names: given and surname; one name after a title: a surname; each attempt has a hundred times the choice
+    syllable = lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES)), F.pmod(_nth(hexes, i), F.lit(len(SYLLABLES))) + F.lit(1))
+    surname = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(FIRST_SYLLABLES) + attempt), syllable), ""))
+    latin = F.concat(F.when(name.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), surname)
+    # in other scripts a name gets more letters like its last one
+    other = F.concat(name, F.repeat(F.substring(name, -1, 1), attempt))
+    named = F.concat(title, F.when(name.rlike(r"^[\p{IsLatin} ]+$"), latin).otherwise(_letters(other, hexes)))
     return (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ip", ip)
         .when(kind == "phone", phone).when(kind == "name", named).otherwise(mixed)
@@ -129,8 +135,9 @@ def surrogate_table(entities: DataFrame, key: str, attempts: int = ATTEMPTS) ->
     """(entity, kind, surrogate) for distinct ``entity`` values, all surrogates distinct and none an entity.
 
     In each attempt the first claimant (by entity) of a free surrogate gets it; the others
-    draw again. After ``attempts`` draws a clash is settled by a counter in the surrogate,
-    so distinctness does not depend on luck.
+    draw again. After ``attempts`` draws a clash is settled by a number in the surrogate, or
+    for a name by ``LAST_DRAW`` more letters or syllables, so distinctness does not depend on
+    luck and a name stays one.
     """
     todo = entities.select("entity", kind_of(F.col("entity")).alias("kind"))
     have = materialize(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(0))), "surrogates")
@@ -146,7 +153,8 @@ def surrogate_table(entities: DataFrame, key: str, attempts: int = ATTEMPTS) ->
             return have
         drawn = surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt))
         if attempt == attempts:
-            drawn = F.concat(drawn, F.lit("-"), F.conv(F.substring(F.sha2(F.col("entity"), 256), 1, 15), 16, 10))
+            numbered = F.concat(drawn, F.lit("-"), F.conv(F.substring(F.sha2(F.col("entity"), 256), 1, 15), 16, 10))
+            drawn = F.when(F.col("kind") == "name", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt + LAST_DRAW))).otherwise(numbered)
         have = materialize(clash.select("entity", "kind", F.when(F.col("again"), drawn).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
     return have
 

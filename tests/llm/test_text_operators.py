@@ -252,6 +252,19 @@ def test_surrogates_stay_distinct(spark):
     assert out == ", ".join(table[n] for n in names) + "."
 
 
+def test_names_stay_names(spark):
+    names = [f"Mr. Person{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + [f"Frau Ann Lee{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    short = ["Mr. " + chr(0x410 + i % 16) + chr(0x430 + i // 16) for i in range(256)]  # each of the 256 that two letters can draw is taken
+    rows = {r.entity: r.surrogate for r in pii.surrogate_table(spark.createDataFrame([(n,) for n in names + short], "entity string"), "k").collect()}
+    assert len(set(rows.values())) == len(names + short) and not set(rows) & set(rows.values())
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]{5,}", rows[n]) for n in names[:300])
+    assert all((m := re.fullmatch(r"Frau ([A-Z][a-z]+) [A-Z][a-z]{5,}", rows[n])) and m[1] in pii.GIVEN_FEMALE for n in names[300:])
+    assert all(re.fullmatch(r"Mr\. [А-Я][а-я]+", rows[n]) for n in short)
+    # the last draw, after which nothing else is tried, is a name as well
+    last = pii.surrogate_table(spark.createDataFrame([(n,) for n in short], "entity string"), "k", 1).collect()
+    assert len({r.surrogate for r in last}) == 256 and all(re.fullmatch(r"Mr\. [А-Я][а-я]+", r.surrogate) for r in last)
+
+
 def test_quality_counts(spark, empty):
     text = "a b c d e\na b c d e\n\nx # y|z\na b c d e f"
     rows = quality_rules.base_counts(text)
