@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
 from ..operators.storage import discard, materialize
@@ -314,12 +314,13 @@ def _prefixes(width: int, threshold: int, counts: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         pa.array(keys, pa.int64()),
                         pa.array([np.minimum(count_point(s, fine_groups(len(s))), _FULL).astype("<u2").tobytes() for s in sets], pa.binary()),
                         *(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in ps])]).astype(np.int32), pa.array(np.concatenate([*ps, np.zeros(0, np.int64)]))) for ps in (cold, hot)),
                     ],
-                    ["doc_id", "n_shingles", "node", "point", "prefix", "hot"],
+                    ["doc_id", "row_key", "n_shingles", "node", "point", "prefix", "hot"],
                 )
 
     return run
@@ -361,6 +362,11 @@ def _dealt(rows: DataFrame, group: str, bins: int) -> DataFrame:
     return rows.withColumn("tile", tile).withColumn("cells", F.when(big, pairs).otherwise(small))
 
 
+def _row_key() -> Column:
+    """A hash of id and text: rows that share it are repeated rows, whose sets are equal."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, class_size, n_links.
 
@@ -374,19 +380,23 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
     null takes part; its component_id is the smallest id of its component, null without
     one. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    return _joined(docs, width, threshold).drop("row_key", "group", "single")
+
+
+def _joined(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The join's rows with row_key, and with group and single, which tell components apart even where ids repeat."""
+    rows = docs.select("doc_id", "text", _row_key().alias("row_key"))
     counts = shingle_counts(rows, width)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     table = materialize(
-        rows.mapInArrow(_prefixes(width, threshold, counts), f"doc_id {id_type}, n_shingles bigint, node bigint, point binary, prefix array<bigint>, hot array<bigint>"),
+        rows.mapInArrow(_prefixes(width, threshold, counts), f"doc_id {id_type}, row_key bigint, n_shingles bigint, node bigint, point binary, prefix array<bigint>, hot array<bigint>"),
         "prefixes",
     )
     classes = materialize(
-        table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes"
+        table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("row_key").alias("first_key")), "classes"
     )
-    # one row of each class emits its prefix; a repeated id emits twice, which changes nothing
-    first = table.join(classes.select("node", "class_id", "class_size"), "node").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # one row of each class emits its prefix; a repeated row emits twice, which changes nothing
+    first = table.join(classes.select("node", "first_key"), "node").where("row_key = first_key")
     blocks = materialize(_blocks(first), "blocks")
     places = max(1, 2 * blocks.count() // BIN)
     met = _dealt(blocks, "block", places).join(first.select("node", "n_shingles", "point"), "node")
@@ -396,9 +406,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
     discard(blocks)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     dealt = _dealt(groups.join(sizes, "component"), "component", max(1, 2 * groups.count() // BIN))
-    placed = dealt.join(classes, "node").select("node", "class_id", "class_size", "tile", "cells")
+    placed = dealt.join(classes, "node").select("node", "first_key", "class_size", "tile", "cells")
     texts = (
-        rows.join(placed, F.col("doc_id").eqNullSafe(F.col("class_id")))
+        rows.join(placed, F.col("row_key") == F.col("first_key"))
+        .dropDuplicates(["row_key", "node"])
         .select("node", "text", "tile", "class_size", F.explode("cells").alias("cell"))
         .select("node", "text", "tile", "class_size", "cell.*")
     )
@@ -412,9 +423,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
         ids.where("component is not null").groupBy("component").agg(F.min("class_id").alias("component_id"))
     )
     per_class = ids.join(lowest, "component", "left").select(
-        "node", "class_id", "class_size", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("outside", F.lit(0)).alias("outside")
+        "node", F.coalesce("component", "node").alias("group"), "class_id", "class_size", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("outside", F.lit(0)).alias("outside")
     )
-    out = table.select("doc_id", "n_shingles", "node").join(per_class, "node", "left")
+    out = table.select("doc_id", "row_key", "n_shingles", "node").join(per_class, "node", "left")
     alone = F.col("node").isNull()
     return out.select(
         "doc_id",
@@ -423,18 +434,20 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 80) ->
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
         F.when(alone, F.lit(0)).otherwise(F.col("class_size") - 1 + F.col("outside")).cast("bigint").alias("n_links"),
+        "row_key",
+        "group",
+        F.when(alone, F.col("row_key")).alias("single"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The documents whose id is the smallest of their component; columns unchanged.
+    """One document of each component, of the smallest id there; columns unchanged.
 
-    Of repeated rows with that id one stays. Rows without an id stay (nothing can be said
-    to stand for them).
+    Components are told apart by their sets, so unlike texts that share an id all stay; of
+    repeated rows one does. Rows without an id stay (nothing can be said to stand for them).
     """
-    lead = (
-        ngram_jaccard_join(docs, width, threshold).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_lead")).distinct()
-    )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
-    known = rows.join(lead, F.col("doc_id") == F.col("_lead"), "left_semi").dropDuplicates(["doc_id"])
+    found = _joined(docs, width, threshold).where(F.col("doc_id") == F.col("component_id"))
+    lead = found.groupBy("group", "single").agg(F.min("row_key").alias("_lead")).select("_lead")
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), _row_key().alias("row_key"))
+    known = rows.join(lead, F.col("row_key") == F.col("_lead"), "left_semi").dropDuplicates(["row_key"])
     return known.select("row.*").unionByName(docs.where("doc_id is null"))

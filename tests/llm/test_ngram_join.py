@@ -73,6 +73,20 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, None, None]))
 
 
+def test_repeated_and_null_ids_with_near_copies(spark):
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    near = lambda k: text(k, 42)
+    # every id but the last two belongs to several unlike texts, and each text has a near copy
+    rows = [(7, text("a")), (7, text("b")), (7, text("c")), (8, near("a")), (8, near("b")), (8, text("z")), (8, text("z"))]
+    rows += [(None, text(k)) for k in "defgh"] + [(None, near(k)) for k in "defg"] + [(5, near("h")), (9, near("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in J.ngram_jaccard_join(df).collect()]
+    assert sorted(got, key=str) == sorted([(i, *b) for (i, _), b in zip(rows, brute(rows), strict=True)], key=str)
+    kept = sorted(map(tuple, J.keep_one_of_each(df).collect()), key=str)
+    want = [(7, text("a")), (7, text("b")), (7, text("c")), (8, text("z")), (5, near("h"))] + [r for r in rows if r[0] is None]
+    assert kept == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.ngram_jaccard_join(df).collect() == []
