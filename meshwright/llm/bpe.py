@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8
-from .tokens import PIECE, PLAIN, byte_characters, look_up, vocabulary
+from .common import slices, utf8
+from .tokens import PIECE, PLAIN, byte_characters, look_up, take_runs, vocabulary
 
 #: Text and distinct pieces taken up at a time by a task.
 PART_BYTES, PART_PIECES = 6 << 20, 300_000
@@ -48,6 +48,8 @@ class PairIndexEncoder:
         self.names: list[bytes] = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.names[i] = name.encode()
+        self.flat_names = np.frombuffer(b"".join([x + b" " for x in self.names]), np.uint8)
+        self.name_sizes = np.array([len(x) + 1 for x in self.names], np.int64)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         chars = byte_characters()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
@@ -165,8 +167,8 @@ class PairIndexEncoder:
         back = _unprintable()
         return [bytes(map(back.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(low)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes; null counts as empty."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts one after the other and where each text's begin; null counts as empty."""
         return look_up(texts, self.known, self._encode_chunks)
 
     def _encode_chunks(self, missing: list[str]) -> list[bytes]:
@@ -175,9 +177,13 @@ class PairIndexEncoder:
         ids = {p: x.tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
         return [b"".join([ids[p] if isinstance(p, bytes) else np.array([p], "<u4").tobytes() for p in parts]) for parts in cut]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The text (UTF-8) of ids: the file has no decoder, so token names stand with spaces between."""
-        return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts (UTF-8) of ids, one after the other with a space behind each, and where each begins.
+
+        The file has no decoder, so token names stand with spaces between.
+        """
+        text, ends = take_runs(self.flat_names, self.name_sizes, ids)
+        return text, ends[at]
 
 
 _back: dict[str, int] = {}
@@ -194,24 +200,25 @@ def _round_trip(path: str, with_ids: bool):
         encoder = PairIndexEncoder.of(path)
         for batch in batches:
             _, offs = utf8(batch.column(1))
-            i = 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offs, offs[i] + PART_BYTES, "right")) - 1)
+            for i, j in slices(offs, PART_BYTES):
                 part = batch.slice(i, j - i)
-                ids = encoder.encode(part.column(1).to_pylist())
-                text = [encoder.decode(x) for x in ids]
+                ids, at = encoder.encode(part.column(1))
+                text, begin = encoder.decode(ids, at)
+                raw, decoded = memoryview(ids.tobytes()), memoryview(text.tobytes())
+                each = [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                # the space behind the last token is no part of a text
+                named = [decoded[a : max(a, b - 1)] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 cols = [
                     part.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in text], pa.string()),
+                    pa.array(np.diff(at)),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in named], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols += [pa.array(ids, pa.binary()), pa.array([x.decode("utf-8") for x in text], pa.string())]
+                    cols += [pa.array(list(map(bytes, each)), pa.binary()), pa.array([str(x, "utf-8") for x in named], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
-                i = j
 
     return run
 

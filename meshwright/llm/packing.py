@@ -20,29 +20,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from .tokens import ChunkEncoder, vocabulary
 
-CAPACITY, END, WINDOWS, PIECE = 4096, 2, 128, 512
+CAPACITY, END, WINDOWS, PIECE = 4096, 2, 512, 512
 
 
-def multiway_difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """A window in [0, k) for every size, with near-equal window sums.
+def multiway_difference(sizes: np.ndarray, k: int, capacity: int | None = None) -> np.ndarray | None:
+    """A window in [0, k) for every size, with near-equal window sums; None if one exceeds ``capacity``.
 
     Karmarkar and Karp's method for k-way partitions. Merges are kept as a tree of
-    column permutations and unwound from the root, so no item lists are copied.
+    column permutations and unwound from the root, so no item lists are copied. Sums are
+    kept as differences to the least; the total tells the largest sum at the root, so a
+    partition that does not fit is never unwound.
     """
     n = len(sizes)
     if n == 0:
         return np.zeros(0, np.int64)
+    leaf_of = np.argsort(-sizes, kind="stable")
     sums: list[np.ndarray | None] = []
-    tree: list[tuple[int, int, np.ndarray, np.ndarray] | None] = []
+    tree: list[tuple[int, int, np.ndarray, np.ndarray] | None] = [None] * n
     heap: list[tuple[int, int]] = []
-    for i in np.argsort(-sizes, kind="stable"):
+    for i, size in enumerate(sizes[leaf_of].tolist()):
         row = np.zeros(k, np.int64)
-        row[0] = sizes[i]  # rows are kept in descending order
-        heap.append((-int(sizes[i]), len(sums)))
+        row[0] = size  # rows are kept in descending order
+        heap.append((-size, i))
         sums.append(row)
-        tree.append(None)
-    leaf_of = np.argsort(-sizes, kind="stable")
-    heapq.heapify(heap)
+    # ascending already, thus a heap
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
@@ -54,6 +55,9 @@ def multiway_difference(sizes: np.ndarray, k: int) -> np.ndarray:
         sums[a] = sums[b] = None
         tree.append((a, b, order, k - 1 - order))
         sums.append(merged)
+    root = sums[-1]
+    if capacity is not None and (int(sizes.sum()) - int(root.sum())) // k + int(root[0]) > capacity:
+        return None
     out = np.zeros(n, np.int64)
     todo = [(len(sums) - 1, np.arange(k))]
     while todo:
@@ -89,10 +93,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, piece: int = PIECE) -> l
     sizes = np.array(cut_len, np.int64)
     if len(sizes):
         k = max(1, -(-int(sizes.sum()) // capacity))
-        while True:
-            where = multiway_difference(sizes, k)
-            if np.bincount(where, weights=sizes, minlength=k).max() <= capacity:
-                break
+        while (where := multiway_difference(sizes, k, capacity)) is None:
             k += 1
         fill = np.zeros(k, np.int64)
         last: dict[int, int] = {}
@@ -116,14 +117,13 @@ def _pack_group(path: str, capacity: int, piece: int, with_ids: bool):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         # a fixed order, so that a recomputed task gives the same windows
         rows = rows.sort_by([("doc_id", "ascending"), ("crc", "ascending")])
-        encoder, end = ChunkEncoder.of(path), np.array([END], "<u4").tobytes()
-        ids: list[bytes] = []
-        for batch in rows.select(["text"]).to_batches(max_chunksize=512):
-            ids += [x + end for x in encoder.encode(batch.column(0).to_pylist())]
-        n = np.array([len(x) // 4 for x in ids], np.int64)
+        ids, at = ChunkEncoder.of(path).encode_documents(rows["text"].combine_chunks(), END)
+        n = np.diff(at)
         got = pack(n, capacity, piece)
         item, start, length, window, offset = (np.array(c, np.int64) for c in zip(*got, strict=True))
-        part = [memoryview(ids[i])[4 * s : 4 * (s + m)] for i, s, m, *_ in got]
+        begin = at[item] + start
+        raw = memoryview(ids.tobytes())
+        part = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
         out = {
             "doc_id": rows["doc_id"].take(pa.array(item)),
             "start": start,

@@ -115,13 +115,9 @@ def _files(path: str, block: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("crc", "ascending"), ("size", "ascending")], null_placement="at_start")
         rows = rows.take(order)
-        encoder, end = ChunkEncoder.of(path), np.array([END], "<u4").tobytes()
-        raw: list[bytes] = []
-        for batch in rows.select(["text"]).to_batches(max_chunksize=512):
-            raw += [x + end for x in encoder.encode(batch.column(0).to_pylist())]
-        ends = np.cumsum([len(x) // 4 for x in raw])
-        content = write_file(np.frombuffer(b"".join(raw), "<u4"), ends, rows["doc_id"].to_pylist(), block)
-        return pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "n_ids": pa.array([int(ends[-1])]), "n_docs": pa.array([len(raw)]), "content": pa.array([content], pa.binary())})
+        ids, at = ChunkEncoder.of(path).encode_documents(rows["text"].combine_chunks(), END)
+        content = write_file(ids, at[1:], rows["doc_id"].to_pylist(), block)
+        return pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "n_ids": pa.array([len(ids)]), "n_docs": pa.array([rows.num_rows]), "content": pa.array([content], pa.binary())})
 
     return run
 
