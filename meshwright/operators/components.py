@@ -2,8 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round
 is one partial aggregate and one join, so a hub's neighbours are never gathered
-in one task: the minimum is combined map-side and AQE can split the join. A graph whose
-edges are counted and few is finished by union-find in one task instead.
+in one task: the minimum is combined map-side and AQE can split the join. Before the first
+round every partition replaces its edges by a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import discard, materialize
 
+#: Edges of a partition that are held at a time when they are thinned.
+FOREST_EDGES = 200_000
 
-#: A graph of at most so many distinct edges (16 bytes each, for numbers) is finished in one task.
-LOCAL_EDGES = 500_000
 
-
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The components of all edges of a bounded graph; the smallest node names each."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A star for each component of the edges of every ``FOREST_EDGES``: what hangs together still does."""
     root: dict = {}
 
     def find(x):
@@ -30,17 +29,24 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = root[x]
         return x
 
-    kind = None
+    def stars(kind: pa.DataType) -> pa.RecordBatch:
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["a", "b"])
+
+    kind, seen = None, 0
     for batch in batches:
         kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
             if a != b:
                 root[max(a, b)] = min(a, b)
-    nodes = list(root)
-    for i in range(0, len(nodes), 1 << 16):
-        part = nodes[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], ["node", "component"])
+        seen += batch.num_rows
+        if seen >= FOREST_EDGES:
+            yield stars(kind)
+            root.clear()
+            seen = 0
+    if root:
+        yield stars(kind)
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -57,16 +63,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Edges are undirected; self-loops, repeats and nulls are ignored, though the
     node of a self-loop is returned. No edges give no rows. Converges in
-    O(log^2 n) rounds; a fixpoint is found by comparing edge count and checksum.
+    O(log^2 n) rounds; a fixpoint is found by comparing the edges' number and two sums of
+    their 64-bit hashes.
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    ends = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    if ends.count() <= LOCAL_EDGES:
-        kind = ends.schema["a"].dataType.simpleString()
-        return ends.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
+    kind = ends.schema["a"].dataType.simpleString()
+    ends = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # in a fixed order, so that a task that runs again thins alike
+    ends = materialize(ends.sortWithinPartitions("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}").distinct(), "cc")
     loops = ends.where("a = b").select("a")
     cur = ends.where("a <> b")
-    state = None
+    last, state = None, None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -77,9 +84,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             moved.select("a", F.col("low").alias("b"))
         )
         nxt = materialize(small.where("a <> b").distinct(), "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        discard(cur)
-        cur = nxt
+        hashed = F.xxhash64("a", "b")
+        now = nxt.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first()
+        discard(last)
+        cur = last = nxt
         if now == state:
             break
         state = now

@@ -9,9 +9,9 @@ from meshwright.functions import text as T
 from meshwright.operators import analytics, budget, cache, components, graph, layout, search
 
 
-@pytest.mark.parametrize("local", [0, 500_000])
-def test_components(spark, monkeypatch, local):
-    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+@pytest.mark.parametrize("held", [1, 200_000])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "FOREST_EDGES", held)
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(k, k + 1) for k in range(300, 340)] + [(500, 500), (None, 3), (7, None)]
     root = {}
