@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,6 +23,44 @@ def schema_of(rows: DataFrame, kept: list[str], results: str) -> StructType:
     return StructType([rows.schema[c] for c in kept] + StructType.fromDDL(results).fields)
 
 
+def map_texts(docs: DataFrame, keep: list[str], work: Callable[[], Callable[[pa.Array], list[pa.Array]]], results: str) -> DataFrame:
+    """The columns ``keep`` of every row and ``results`` (DDL), made from the texts by a worker function.
+
+    ``work`` is called once in a task; what it returns turns a column of texts into result
+    columns. Kept columns travel as one struct, so their names cannot clash, and a kept text
+    travels once. A kept column that is called like a result gives way to it.
+    """
+    made = StructType.fromDDL(results).names
+    cols = [c for c in dict.fromkeys(keep) if c not in made]
+    inside = "text" in cols
+    rows = docs.select(F.struct(*cols or [F.lit(0).alias("_none")]).alias("row"), *([] if inside else ["text"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        act = work()
+        for batch in batches:
+            texts = batch.column(0).field("text") if inside else batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *act(texts)], ["row", *made])
+            del batch, texts
+            release()
+
+    out = rows.mapInArrow(run, schema_of(rows, ["row"], results))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in cols), *made)
+
+
+def release() -> None:
+    """Give memory that this process has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library keeps no such pools
+    _libc = None
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: what decides on held-out rows."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -42,6 +83,20 @@ def bounded_sample(rows: DataFrame, label: str, key: str, buckets: int) -> DataF
     )
 
 
+def sampled_texts(docs: DataFrame, picked: DataFrame, with_label: bool = False) -> DataFrame:
+    """(text, label): one text for each picked key (:func:`bounded_sample`), the least where rows repeat the id.
+
+    Bounded by the sample whatever the rows: repeated rows are combined before they move. If
+    ``with_label``, a row counts only where its own ``lang`` is the label.
+    """
+    small = F.broadcast(picked.select(F.col("key").alias("_key"), F.col("label").alias("_label")))  # bounded by the sample
+    on = F.col("doc_id") == F.col("_key")
+    if with_label:
+        on = on & (F.col("lang") == F.col("_label"))
+    rows = docs.where("text is not null").join(small, on)
+    return rows.groupBy("_key", "_label").agg(F.min("text").alias("text")).select("text", F.col("_label").alias("label"))
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string column without copying; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, fold, schema_of, slices, utf8
+from .common import bounded_sample, fold, map_texts, sampled_texts, slices, utf8
 from .wordhash import LOWER, span_hashes, word_spans
 
 #: Documents of each language that are learnt from; hashed features; score under which a text is ambiguous.
 SAMPLE, FEATURES, AMBIGUOUS = 512, 1 << 15, 0.4
-#: Text in which each distinct word is looked up once.
-SLICE = 6 << 20
+#: Documents that are learnt from in all: with very many languages each has a smaller sample.
+SAMPLE_IN_ALL = 16_384
+#: Text of which each distinct word is looked up once; its words' n-grams take some 60 bytes a byte.
+SLICE = 1 << 20
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3)
 _MUL = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -155,12 +157,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, epochs: int = 6) -> Model | None:
     """Fit on at most ``sample`` documents of each language among rows where ``learn`` holds.
 
-    Languages are the distinct non-null values there. None if there are none.
+    Languages are the distinct non-null values there. None if there are none. An id counts
+    once for each language, with the least of its texts. Beyond ``SAMPLE_IN_ALL // sample``
+    languages each has a smaller sample, so that what the driver gathers has a bound.
     """
-    picked = bounded_sample(docs.where(learn).where("text is not null"), "lang", "doc_id", sample)
-    picked = F.broadcast(picked.select(F.col("key").alias("_key"), F.col("label")))  # at most sample x languages rows
-    known = docs.where(learn).select("doc_id", "text", "lang").join(picked, (F.col("doc_id") == F.col("_key")) & (F.col("lang") == F.col("label")))
-    rows = known.select("text", "label").mapInArrow(_counts, "label string, ids binary, vals binary").collect()
+    number = docs.where(learn).agg(F.approx_count_distinct("lang").alias("n")).first().n
+    known = docs.where(learn).where("text is not null")
+    picked = bounded_sample(known, "lang", "doc_id", max(1, min(sample, SAMPLE_IN_ALL // max(1, number))))
+    rows = sampled_texts(known.select("doc_id", "text", "lang"), picked, with_label=True).mapInArrow(_counts, "label string, ids binary, vals binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, bytes(r.ids), bytes(r.vals)))
@@ -196,25 +200,22 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, epochs: int = 6)
 
 
 def _predict(model: Model | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = utf8(batch.column(batch.num_columns - 1))
-            texts = batch.column(batch.num_columns - 1)
-            langs, scores = [], []
-            for i, j in slices(offs, SLICE):
-                part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                lettered = _has_letter(part, at, texts.slice(i, j - i))
-                if model is None:
-                    langs += [UNKNOWN] * (j - i)
-                    scores += [0.0] * (j - i)
-                    continue
-                best, score = model.decode(model.margins(part, at))
-                langs += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-                scores += [float(s) if ok else 0.0 for s, ok in zip(score, lettered, strict=True)]
-            lang, score = pa.array(langs, pa.string()), pa.array(scores, pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lang, score], [*batch.schema.names[:-1], "lang_pred", "score"])
-
-    return run
+    def judge(texts: pa.Array) -> list[pa.Array]:
+        data, offs = utf8(texts)
+        langs, scores = [], []
+        for i, j in slices(offs, SLICE):
+            part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            lettered = _has_letter(part, at, texts.slice(i, j - i))
+            if model is None:
+                langs += [UNKNOWN] * (j - i)
+                scores += [0.0] * (j - i)
+                continue
+            best, score = model.decode(model.margins(part, at))
+            langs += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
+            scores += [float(s) if ok else 0.0 for s, ok in zip(score, lettered, strict=True)]
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+
+    return lambda: judge
 
 
 _ASCII_LETTER = np.zeros(256, np.int64)
@@ -234,11 +235,9 @@ def predict_language(docs: DataFrame, model: Model | None, keep: list[str], ambi
     """The columns ``keep`` of every row, lang_pred, score (0 to 1) and ambiguous.
 
     A null text and one without a letter get ``und``, score 0 and the flag. Without a model
-    (nothing to learn from) every text does. ``keep`` columns called like the results are
-    refused by Spark; name others.
+    (nothing to learn from) every text does. A kept column called like a result gives way.
     """
-    rows = docs.select(*keep, "text")
-    out = rows.mapInArrow(_predict(model), schema_of(rows, keep, "lang_pred string, score double"))
+    out = map_texts(docs, [c for c in keep if c != "ambiguous"], _predict(model), "lang_pred string, score double")
     return out.withColumn("ambiguous", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < ambiguous))
 
 
@@ -247,7 +246,8 @@ def identify_languages(docs: DataFrame, learn: Column | None = None, sample: int
 
     Learns where ``learn`` holds (by default: crc32 of the id as text, modulo 4, is not 2)
     from text and non-null lang alone. Repeated rows, null ids and an empty table are fine;
-    a row with a null id is not learnt from and counts as not held out.
+    a row with a null id is not learnt from and counts as not held out. Other columns are
+    ignored; the whole of a very long text is read.
     """
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     model = train(docs, ~held if learn is None else learn, sample)

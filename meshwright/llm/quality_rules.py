@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, schema_of
+from .common import bounded_sample, map_texts, sampled_texts, slices, utf8
 
 #: Labelled documents of each quality that are learnt from; least share of content to stay.
 SAMPLE, LEAST_CONTENT = 1024, 0.5
@@ -221,15 +221,11 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ChainField:
     """Fit on at most ``sample`` documents of each labelled quality (doc_id, quality 0 or 1).
 
-    Without a labelled document the plain rule's weights are not learnt and nothing is
+    An id counts once for each quality, with the least of its texts where rows repeat it. Without a labelled document the plain rule's weights are not learnt and nothing is
     boilerplate.
     """
     picked = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)"), "quality", "doc_id", sample)
-    picked = F.broadcast(picked.select(F.col("key").alias("_key"), "label"))  # 2 x sample rows at most
-    got = (
-        docs.select("doc_id", "text").where("text is not null").join(picked, F.col("doc_id") == F.col("_key")).select("text", "label")
-        .mapInArrow(_sequences, "label int, rows binary").collect()
-    )
+    got = sampled_texts(docs.select("doc_id", "text"), picked).mapInArrow(_sequences, "label int, rows binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.rows)))
     seqs = [np.frombuffer(r.rows, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in got]
     use = [i for i, x in enumerate(seqs) if len(x)]
@@ -237,10 +233,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ChainFiel
 
 
 def _judge(field: ChainField, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+    def judge(texts: pa.Array) -> list[pa.Array]:
+        out: list[tuple] = []
+        _, offs = utf8(texts)
+        for i, j in slices(offs):
+            for text in texts.slice(i, j - i).to_pylist():
                 lines, by_line = split_words(text or "")
                 n, chars, symbols, dup, repeat = _base(text or "", lines, by_line)
                 failed = n < 10 or 100 * repeat > 20 * n
@@ -249,13 +246,11 @@ def _judge(field: ChainField, least: float):
                     x, w = line_features(lines, by_line)
                     share = float(w[field.viterbi(x) == 0].sum() / w.sum())
                 out.append((n, chars, symbols, dup, repeat, failed, not failed and share >= least, share))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*batch.schema.names[:-1], *RESULTS]
-            )
+        cols = list(zip(*out, strict=True)) or [()] * 8
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+        return [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
 
-    return run
+    return lambda: judge
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
@@ -266,8 +261,7 @@ def apply_quality_rules(docs: DataFrame, field: ChainField, keep: list[str], lea
     n_repeat_words (long), base_failed, kept, content_share.
 
     A null text counts as empty: no words, base_failed, content share 0. Repeated rows are
-    judged alike; an empty table gives no rows. ``keep`` must not name a result column.
+    judged alike; an empty table gives no rows. A kept column called like a result gives way.
     """
-    rows = docs.select(*keep, "text")
     kinds = ["bigint"] * 5 + ["boolean"] * 2 + ["double"]
-    return rows.mapInArrow(_judge(field, least_content), schema_of(rows, keep, ", ".join(f"{n} {k}" for n, k in zip(RESULTS, kinds, strict=True))))
+    return map_texts(docs, keep, _judge(field, least_content), ", ".join(f"{n} {k}" for n, k in zip(RESULTS, kinds, strict=True)))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, fold, schema_of, slices, utf8
+from .common import bounded_sample, fold, map_texts, sampled_texts, slices, utf8
 from .wordhash import LOWER, mix, span_hashes, word_spans
 
 #: Labelled documents of each class that are learnt from; feature space; score from which a text counts as toxic.
@@ -108,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 
     By default those whose crc32 of the id as text, modulo 3, is not 1. The sample is
     balanced; the bias is then moved to the ratio of the classes among all labels there.
+    An id counts once for each class, with the least of its texts where rows repeat it.
     Without both classes the model scores every text by that ratio (0 without labels).
     """
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
@@ -116,11 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
     if len(number) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), 40.0 if 1 in number else -40.0)
     picked = bounded_sample(known, "toxic", "doc_id", sample)
-    picked = F.broadcast(picked.select(F.col("key").alias("_key"), "label"))  # 2 x sample rows at most
-    rows = (
-        docs.select("doc_id", "text").where("text is not null").join(picked, F.col("doc_id") == F.col("_key")).select("text", "label")
-        .mapInArrow(_training_rows, "label int, ids binary").collect()
-    )
+    rows = sampled_texts(docs.select("doc_id", "text"), picked).mapInArrow(_training_rows, "label int, ids binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.ids)))
     y = np.array([r.label for r in rows])
     model = fit_ftrl([np.frombuffer(r.ids, np.int32).astype(np.int64) for r in rows], y)
@@ -130,24 +127,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 
 
 def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work():
         score = model.scorer()
-        for batch in batches:
-            data, offs = utf8(batch.column(batch.num_columns - 1))
+
+        def judge(texts: pa.Array) -> list[pa.Array]:
+            data, offs = utf8(texts)
             parts = [score(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in slices(offs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*parts, np.zeros(0)]))], [*batch.schema.names[:-1], "score"])
+            return [pa.array(np.concatenate([*parts, np.zeros(0)]))]
+
+        return judge
 
-    return run
+    return work
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], toxic: float = TOXIC) -> DataFrame:
     """The columns ``keep`` of every row, score (0 to 1) and predicted (1 from ``toxic`` on).
 
     Null and empty texts have no features and get the score of the bias. Repeated rows get
-    equal scores; an empty table gives no rows.
+    equal scores; an empty table gives no rows. A kept column called like a result gives way.
     """
-    rows = docs.select(*keep, "text")
-    return rows.mapInArrow(_score(model), schema_of(rows, keep, "score double")).withColumn("predicted", (F.col("score") >= toxic).cast("int"))
+    out = map_texts(docs, [c for c in keep if c != "predicted"], _score(model), "score double")
+    return out.withColumn("predicted", (F.col("score") >= toxic).cast("int"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
