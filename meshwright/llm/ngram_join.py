@@ -11,8 +11,8 @@ An R-tree fits in one task, so points are first dealt to trees without losing a
 1. documents with equal sets become one class (a class of any size is one point);
 2. every class emits a prefix of its set: with the shingles in one global order, the
    first ``n - ceil(0.8 n) + 1`` of two linked sets always share one. The order puts
-   frequent shingles last, by a fixed-size count sketch over all documents, so a passage
-   in a third of all documents is hardly ever in a prefix;
+   frequent shingles last, by a count sketch over all documents, so a passage in a third
+   of all documents is hardly ever in a prefix;
 3. the classes that have a prefix shingle are a block; of blocks with the same members one
    is kept. A block's points are joined by bound in an R-tree (up to FANOUT points are one
    leaf): what is left is a spanning forest of the pairs that could link;
@@ -37,15 +37,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
 from ..operators.storage import discard, materialize
-from .common import slices, utf8
+from .common import release, slices, utf8
 from .wordhash import join_hashes, shingle_sets
 
 #: Coordinates of the tree's points; members of a bin; children of a node.
 GROUPS, BIN, FANOUT = 64, 2048, 16
-#: Cells of the count sketch (uint32 each) and rows in which it travels.
-SKETCH, PIECES = 1 << 18, 64
-#: Occurrences in a cell, as a multiple of the mean and a constant, from which its shingles count as hot.
-HOT_FACTOR, HOT_LEAST = 4, 4096
+#: Bits that number the cells of the count sketch (uint32 each): fewest and most; rows in which it travels.
+LEAST_BITS, MOST_BITS, PIECES = 18, 22, 64
+#: A shingle in a cell of at most so many occurrences is cold: no more rows can have it, whatever the input.
+COLD = 1 << 16
 
 
 def set_key(s: np.ndarray) -> int:
@@ -247,15 +247,25 @@ def _link_bin(width: int, threshold: int):
     return run
 
 
-def _sketch(width: int):
+def sketch_bits(shingles: int) -> int:
+    """Cells grow with the corpus, about 64 occurrences in each, between the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, shingles) // 64).bit_length()))
+
+
+def _cells(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sketch(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(SKETCH, np.int64)
+        cells = np.zeros(1 << bits, np.int64)
         for batch in batches:
             data, offs = utf8(batch.column(0))
             for i, j in slices(offs):
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 if sets:
-                    cells += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                    cells += np.bincount(_cells(np.concatenate(sets), bits), minlength=1 << bits)
+            release()
         part = np.minimum(cells, 2**32 - 1).astype(np.uint32).reshape(PIECES, -1)
         yield pa.RecordBatch.from_pydict({"piece": list(range(PIECES)), "cells": [x.tobytes() for x in part]}, pa.schema([("piece", pa.int32()), ("cells", pa.binary())]))
 
@@ -263,39 +273,36 @@ def _sketch(width: int):
 
 
 def _add_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH // PIECES, np.uint64)
+    total = np.zeros(len(pdf["cells"].iat[0]) // 4, np.uint64)
     for x in pdf["cells"]:
         total += np.frombuffer(x, np.uint32)
     return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "cells": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
 def shingle_counts(docs: DataFrame, width: int = 5) -> np.ndarray:
-    """Occurrences of shingles over all documents in ``SKETCH`` cells: 1 MB whatever the input.
+    """Occurrences of shingles over all documents in cells by hash: 1 to 16 MB whatever the input.
 
     Partial sketches meet in two rounds, so no task adds up more than about the square root
     of the number of partitions.
     """
-    parts = docs.select("text").mapInArrow(_sketch(width), "piece int, cells binary")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sketch_bits(size // 6)
+    parts = docs.select("text").mapInArrow(_sketch(width, bits), "piece int, cells binary")
     fan = max(1, math.isqrt(docs.sparkSession.sparkContext.defaultParallelism) * 4)
     once = parts.groupBy("piece", (F.spark_partition_id() % fan).alias("lane")).applyInPandas(_add_cells, "piece int, cells binary")
     rows = once.groupBy("piece").applyInPandas(_add_cells, "piece int, cells binary").collect()
-    out = np.zeros((PIECES, SKETCH // PIECES), np.uint32)
+    out = np.zeros((PIECES, (1 << bits) // PIECES), np.uint32)
     for r in rows:
         out[r.piece] = np.frombuffer(r.cells, np.uint32)
     return out.ravel()
 
 
-def hot_limit(counts: np.ndarray) -> int:
-    """A shingle in a cell of at most so many occurrences is cold: no more rows can have it."""
-    return HOT_FACTOR * int(counts.mean()) + HOT_LEAST
-
-
 def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
 def _prefixes(width: int, threshold: int, counts: np.ndarray):
-    limit = hot_limit(counts)
+    bits = len(counts).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,9 +313,9 @@ def _prefixes(width: int, threshold: int, counts: np.ndarray):
                 cold, hot = [], []
                 for s in sets:
                     p = prefix_length(len(s), threshold) if len(s) else 0
-                    often = counts[(s >> np.uint64(46)).astype(np.int64)]
+                    often = counts[_cells(s, bits)]
                     order = np.lexsort((s, often))[:p]
-                    rare = np.count_nonzero(often[order] <= limit)
+                    rare = np.count_nonzero(often[order] <= COLD)
                     cold.append(s[order[:rare]].view(np.int64))
                     hot.append(s[order[rare:]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -322,6 +329,7 @@ def _prefixes(width: int, threshold: int, counts: np.ndarray):
                     ],
                     ["doc_id", "row_key", "n_shingles", "node", "point", "prefix", "hot"],
                 )
+            release()
 
     return run
 
@@ -402,7 +410,8 @@ def _joined(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     met = _dealt(blocks, "block", places).join(first.select("node", "n_shingles", "point"), "node")
     met = met.select("node", "block", "tile", "n_shingles", "point", F.explode("cells").alias("cell")).select("node", "block", "tile", "n_shingles", "point", "cell.*")
     near = met.groupBy("place", "cell_a", "cell_b").applyInPandas(_bound_bin(threshold), "node bigint, root bigint")
-    groups = materialize(connected_components(near, "node", "root"), "groups")
+    near = connected_components(near, "node", "root")
+    groups = materialize(near, "groups")
     discard(blocks)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     dealt = _dealt(groups.join(sizes, "component"), "component", max(1, 2 * groups.count() // BIN))
@@ -416,13 +425,14 @@ def _joined(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     found = materialize(
         texts.groupBy("place", "cell_a", "cell_b").applyInPandas(_link_bin(width, threshold), "src bigint, dst bigint, links bigint"), "links"
     )
+    discard(groups)
     linked = connected_components(found, "src", "dst")
     degree = found.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("outside"))
-    ids = classes.join(linked, "node", "left").join(degree, "node", "left")
-    lowest = (
-        ids.where("component is not null").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    )
-    per_class = ids.join(lowest, "component", "left").select(
+    # the smallest id of each component, on linked classes alone: an unlinked one is its own component
+    members = linked.join(classes.select("node", "class_id"), "node")
+    lowest = members.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = members.select("node", "component").join(lowest, "component")
+    per_class = classes.join(named, "node", "left").join(degree, "node", "left").select(
         "node", F.coalesce("component", "node").alias("group"), "class_id", "class_size", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("outside", F.lit(0)).alias("outside")
     )
     out = table.select("doc_id", "row_key", "n_shingles", "node").join(per_class, "node", "left")
