@@ -98,13 +98,12 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes:
     given to the bucket before as a ghost, so that every row meets its next there.
     """
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    buckets = order_buckets(docs, "doc_id", bucket_bytes, least=2 * int(parts))
+    buckets = order_buckets(docs, "doc_id", bucket_bytes, least=2 * int(parts), in_steps=False)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = buckets.column("doc_id")
     # ids at which a bucket begins when read downwards: the largest of each bucket is the ghost of the bucket above
-    last = buckets.number - 1
     tops = base.select("doc_id", own.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
-    top_of = {int(r.bucket): r.top for r in tops.collect()}  # one short row for each of at most MOST_BUCKETS buckets
+    top_of = {int(r.bucket): r.top for r in tops.collect()}  # one short row for each of at most MOST_BOUNDS buckets
     filled = sorted(top_of)
     above = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
     ghost_in: Column = F.lit(None).cast("bigint")
@@ -113,7 +112,6 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes:
         top = F.create_map(*(F.lit(x) for b in filled if top_of[b] is not None for x in (b, int(top_of[b])))) if any(v is not None for v in top_of.values()) else None
         is_top = F.col("doc_id").eqNullSafe(F.try_element_at(top, own.cast("int")) if top is not None else F.lit(None))
         ghost_in = F.when(is_top, F.try_element_at(lookup, own.cast("int")).cast("bigint"))
-    del last
     dealt = base.withColumn("_in", F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("ghost")), F.when(ghost_in.isNotNull(), F.struct(ghost_in.alias("bucket"), F.lit(1).alias("ghost"))))))
     dealt = dealt.select("doc_id", "text", F.explode("_in").alias("_in")).select("doc_id", "text", F.col("_in.bucket").cast("int").alias("bucket"), "_in.ghost")
     # just one bucket for each task: terms take far more room than the texts, so two that meet by hash would spill

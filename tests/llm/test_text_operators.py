@@ -132,6 +132,17 @@ def test_token_file_round_trip():
         token_files.TokenFile(b"x" * 60)
 
 
+def test_order_buckets_in_steps(spark, monkeypatch):
+    from meshwright.llm import ordering
+
+    docs = spark.createDataFrame([(k, "x" * 84) for k in [*range(0, 3000, 3), -(2**63), 2**63 - 1]] + [(None, "x")], "doc_id long, text string")
+    for most, buckets in ((4, 100), (4096, 100), (4, 3), (1, 50)):
+        monkeypatch.setattr(ordering, "MOST_BOUNDS", most)
+        found = ordering.order_buckets(docs, "doc_id", 100_000 // buckets)
+        rows = docs.select("doc_id", found.column("doc_id").alias("b")).orderBy("doc_id").collect()
+        assert [r.b for r in rows] == sorted(r.b for r in rows) and rows[0].b == 0 and rows[-1].b < found.number
+
+
 def test_byte_pairs(odd, empty, library):
     rows = bpe.encode_and_decode(odd, with_ids=True).collect()
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
@@ -267,6 +278,72 @@ def test_names_stay_names(spark):
     assert len({r.surrogate for r in last}) == 256 and all(re.fullmatch(r"Mr\. [А-Я][а-я]+", r.surrogate) for r in last)
 
 
+def _valid_luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if 2 * d > 9 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def _valid_iban(number):
+    n = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+
+
+def test_parts_are_the_same_everywhere(spark):
+    texts = [
+        "Mr. John Smith and Mrs. Smith; Mr. Smith; Dr. Ann Lee, Prof. Lee",
+        "jane@corp.com joe@corp.com jane@other.org",
+        "4111 1111 1111 1111, 378282246310005; DE89370400440532013000 and GB82 WEST 1234 5698 7654 32",
+        "at 2001:db8::ff00:42:8329 or 2001:0DB8:85A3:0000:0000:8A2E:0370:7334, not std::vector or 12:30:45",
+    ]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs\. (\w+); Mr\. (\w+); Dr\. (\w+) (\w+), Prof\. (\w+)", got[0])
+    assert a[2] == a[3] == a[4] != "Smith" and a[6] == a[7] != a[2] and a[1] in pii.GIVEN_MALE and a[5] in pii.GIVEN_MALE + pii.GIVEN_FEMALE
+    b = re.fullmatch(r"([a-z]{12})@([a-z]{10}\.com) ([a-z]{12})@([a-z]{10}\.com) ([a-z]{12})@([a-z]{10}\.org)", got[1])
+    assert b[1] == b[5] != b[3] and b[2] == b[4] and "corp" not in got[1]
+    c = re.fullmatch(r"(4\d{3} \d{4} \d{4} \d{4}), (3\d{14}); (DE\d{20}) and (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d)", got[2])
+    assert _valid_luhn(c[1]) and _valid_luhn(c[2]) and _valid_iban(c[3]) and _valid_iban(c[4]) and not {*c.groups()} & {*re.split("[,;] | and ", texts[2])}
+    d = re.fullmatch(r"at ([0-9a-f:]+) or ([0-9A-F:]+), not std::vector or 12:30:45", got[3])
+    assert len(d[1]) == len("2001:db8::ff00:42:8329") and "2001" not in d[1] and d[2].count(":") == 7
+    other = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "another key").orderBy("doc_id").first().text
+    assert other != got[0]
+
+
+def test_personal_data_against_plain_substitution(spark):
+    """Every entity, and nothing else, is replaced, by the surrogate that the table of entities gives it."""
+    import random
+
+    rng = random.Random(5)
+    pool = ["ann@mail.com", "x.y@b-c.co.uk", "10.20.30.40", "123-45-6789", "+1 (303) 555-1234", "Mr. Hill", "Frau Anna Berg", "a1" * 20, "sk_" + "a1B2" * 5, "4111111111111111", "plain", "words", "2024", "and", "DE89370400440532013000"]
+    texts = ["; ".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2 + [(None, "ann@mail.com"), (900, None)], "doc_id long, text string")
+    own = [e for e in pool if e not in ("plain", "words", "2024", "and")]
+    table = {r.entity: r.surrogate for r in pii.surrogate_table(spark.createDataFrame([(e,) for e in own], "entity string"), "k").collect()}
+    assert set(table) == set(own) and len(set(table.values())) == len(own)
+    either = re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True))))
+    want = Counter((i, either.sub(lambda m: table[m[0]], t), len(either.findall(t))) for i, t in enumerate(texts) for _ in range(2))
+    want += Counter({(None, table["ann@mail.com"], 1): 1, (900, None, 0): 1})
+    assert Counter((r.doc_id, r.text, r.n_entities) for r in pii.replace_pii(docs, "k").collect()) == want
+
+
+def test_personal_data_in_very_long_texts(spark):
+    n = 200_000
+    texts = ["x@b" + ".c" * (n // 2), "a" * n, "._%+-" * (n // 5), "-_" * (n // 2), "sk-" * (n // 3), "0f" * (n // 2), "1" * n, "1 " * (n // 2), "1.2." * (n // 4), "ab:" * (n // 3), "a::" * (n // 3), "Mr. A" + "a" * n, "Mr. " * (n // 4), "+1-" * (n // 3), "AB12 " * (n // 5), "(30) " * (n // 5), "a@" * (n // 2)]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), "k").collect()}
+    assert len(got) == len(texts) and got[0].n_entities == got[5].n_entities == got[11].n_entities == 1
+    assert got[0].text.endswith(".c") and "x@b" not in got[0].text and len(got[5].text) == n and got[5].text != texts[5]
+    assert all(got[i].text == texts[i] for i in (1, 2, 3, 4, 9, 10))
+
+
+def test_redrawn_parts_by_join_and_by_literal(spark, monkeypatch):
+    names = [f"Mr. {chr(65 + i % 26)}{chr(97 + i // 26)}x Hill" for i in range(100)]  # more given names than the first draw has
+    docs = spark.createDataFrame([(i, f"{a} met {b}.") for i, (a, b) in enumerate(zip(names, names[1:], strict=False))], "doc_id long, text string")
+    one = {r.doc_id: r.text for r in pii.replace_pii(docs, "k").collect()}
+    monkeypatch.setattr(pii, "LITERAL_PARTS", 3)
+    assert {r.doc_id: r.text for r in pii.replace_pii(docs, "k").collect()} == one
+    seen = [re.fullmatch(r"(Mr\. \S+ \w+) met (Mr\. \S+ \w+)\.", one[i]) for i in range(99)]
+    assert all(a[2] == b[1] for a, b in zip(seen, seen[1:], strict=False)) and len({a[1] for a in seen}) == 99
+
+
 def test_quality_counts(spark, empty):
     text = "a b c d e\na b c d e\n\nx # y|z\na b c d e f"
     rows = quality_rules.base_counts(text)
