@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import release, slices, utf8
 from .tokens import PIECE, PLAIN, byte_characters, look_up, take_runs, vocabulary
 
 #: Text and distinct pieces taken up at a time by a task.
@@ -219,6 +219,7 @@ def _round_trip(path: str, with_ids: bool):
                     cols += [pa.array(list(map(bytes, each)), pa.binary()), pa.array([str(x, "utf-8") for x in named], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            release()
 
     return run
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import release
 from .tokens import ChunkEncoder, vocabulary
 
 CAPACITY, END, WINDOWS, PIECE = 4096, 2, 512, 512
@@ -135,6 +136,7 @@ def _pack_group(path: str, capacity: int, piece: int, with_ids: bool):
         }
         if with_ids:
             out["ids"] = pa.array([bytes(x) for x in part], pa.binary())
+        release()
         return pa.table(out)
 
     return run

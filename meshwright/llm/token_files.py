@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.storage import materialize
+from .common import release
 from .ordering import order_buckets
 from .tokens import ChunkEncoder, vocabulary
 
@@ -117,7 +118,9 @@ def _files(path: str, block: int):
         rows = rows.take(order)
         ids, at = ChunkEncoder.of(path).encode_documents(rows["text"].combine_chunks(), END)
         content = write_file(ids, at[1:], rows["doc_id"].to_pylist(), block)
-        return pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "n_ids": pa.array([len(ids)]), "n_docs": pa.array([rows.num_rows]), "content": pa.array([content], pa.binary())})
+        out = pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "n_ids": pa.array([len(ids)]), "n_docs": pa.array([rows.num_rows]), "content": pa.array([content], pa.binary())})
+        release()
+        return out
 
     return run
 
