@@ -23,13 +23,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line model keep."""
     field = train_quality(docs, table(spark, sf_dir, "labels"))
-    return apply_quality_rules(_packed(docs), field, ["row"]).where("kept").select("row.*")
+    return apply_quality_rules(docs, field, docs.columns).where("kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told without doubt: neither ``und`` nor flagged as ambiguous."""
     model = train_language(docs, ~F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
-    return predict_language(_packed(docs), model, ["row"]).where("not ambiguous").select("row.*")
+    return predict_language(docs, model, docs.columns).where("not ambiguous").select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, with_ids=True)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """The columns as one struct beside the text, so that no name can clash with a result."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
-
-
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("n-gram Jaccard join", ngram_join), ("PII", pii), ("packing", packing)]
 
 #: Trained models and iterative joins: not expressible in SQL; tests hold the stages against brute force.
