@@ -131,8 +131,12 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, start: DataFrame, goal: Column, depth: int, most: int) -> DataFrame:
-    """The ``most`` shortest simple directed paths from ``start`` (id): (hops, path), ties by path text."""
-    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    """The ``most`` shortest simple directed paths from ``start`` (id): (hops, path), ties by path text.
+
+    Every front is written, so a level costs one join; the search ends with the level that
+    brings the number of paths to ``most``, as later ones are longer.
+    """
+    links = materialize(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "links")
     front = start.select(F.col("id").alias("node"), F.array("id").alias("path"))
     found = None
     for _ in range(depth):
@@ -140,8 +144,11 @@ def paths(edges: DataFrame, start: DataFrame, goal: Column, depth: int, most: in
             front.join(links, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b")))
             .select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
         )
+        front = materialize(front, "front")
         done = front.where(goal)
         found = done if found is None else found.unionByName(done)
+        if front.isEmpty() or found.limit(most).count() >= most:
+            break
         front = front.where(~goal)
     out = found.select((F.size("path") - 1).cast("bigint").alias("hops"), F.array_join("path", ">").alias("path"))
     return out.orderBy("hops", "path").limit(most)
@@ -162,7 +169,7 @@ def levels_down(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 def closure(pairs: DataFrame, depth: int) -> DataFrame:
     """(node, ancestor, depth): all ancestors up to ``depth`` steps, at their least depth."""
-    base = pairs.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).distinct()
+    base = materialize(pairs.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).distinct(), "pairs")
     found = base.withColumn("depth", F.lit(1).cast("bigint"))
     front = found
     for k in range(2, depth + 1):
@@ -170,6 +177,9 @@ def closure(pairs: DataFrame, depth: int) -> DataFrame:
             front.select("node", F.col("ancestor").alias("_mid")).join(base.select(F.col("node").alias("_mid"), "ancestor"), "_mid")
             .select("node", "ancestor").distinct().withColumn("depth", F.lit(k).cast("bigint"))
         )
+        front = materialize(front, "front")
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 

@@ -19,24 +19,27 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """(key, score) of documents with a query token; a repeated query token counts again.
 
-    Weights are ln(N - df + 0.5) - ln(df + 0.5); a negative one is EPSILON times the mean
-    weight of all tokens of the corpus. Only the postings of query tokens are joined;
-    corpus statistics need one aggregate of token frequencies.
+    ``key`` is unique. Weights are ln(N - df + 0.5) - ln(df + 0.5); a negative one is EPSILON
+    times the mean weight of all tokens of the corpus. Document frequencies combine map-side
+    over each text's distinct tokens; of the postings only those of query tokens are made.
     """
     spark = docs.sparkSession
-    index = postings(docs, key, text)
-    lengths = docs.select(key, F.size(tokens(F.col(text))).cast("bigint").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
+    words = docs.select(key, tokens(F.col(text)).alias("_words"))
+    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("avgdl"))
+    df = words.select(F.explode(F.array_distinct("_words")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighed = df.crossJoin(F.broadcast(corpus)).withColumn("raw", raw)  # one row of statistics
-    mean = weighed.agg(F.avg("raw").alias("mean"))
     terms = _query_frame(spark, query)
-    idf = weighed.join(F.broadcast(terms), "token").crossJoin(F.broadcast(mean)).select(
+    # query words and, in the row without a token, the mean over all: one pass over the frequencies
+    asked = F.when(F.col("token").isin(*set(query)), F.col("token"))
+    kept = weighed.groupBy(asked.alias("token")).agg(F.sum("raw").alias("raw"), F.count("*").alias("number"), F.first("avgdl").alias("avgdl"))
+    mean = kept.agg((F.sum("raw") / F.sum("number")).alias("mean"))
+    idf = kept.join(F.broadcast(terms), "token").crossJoin(F.broadcast(mean)).select(
         "token", "times", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf")
     )
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = index.join(F.broadcast(idf), "token").join(lengths, key).select(key, "token", part.alias("part"))
+    at = words.select(key, F.size("_words").cast("bigint").alias("dl"), F.explode(F.filter("_words", lambda w: w.isin(*set(query)))).alias("token"))
+    hits = at.groupBy(key, "dl", "token").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "token").select(key, "token", part.alias("part"))
     # a fixed order of summation
     return hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "part"))).alias("p")).select(
         key, F.aggregate("p", F.lit(0.0), lambda a, x: a + x["part"]).alias("score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import analytics as A
@@ -90,8 +90,11 @@ WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_
 SELECT CAST(count(*) FILTER (WHERE best <= 3) AS DOUBLE) / count(*) AS top3, CAST(count(*) AS BIGINT) AS n FROM ok""")
 def top3_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of queries (languages) whose first accepted document is among the top three."""
-    ranked = table(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    best = ranked.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id").groupBy("lang").agg(F.min("rank").alias("best"))
+    docs = table(spark, sf_dir, "documents").select("lang", F.struct((-F.col("n_chars")).alias("less"), "doc_id").alias("place"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good"))
+    # the first accepted document of each language, then how many of all come no later: both combine map-side
+    first = docs.join(good, F.col("place.doc_id") == F.col("_good")).groupBy("lang").agg(F.min("place").alias("first")).withColumnRenamed("lang", "_lang")
+    best = docs.join(first, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang").agg(F.count_if(F.col("place") <= F.col("first")).alias("best"))
     return best.agg((F.count_if(F.col("best") <= 3).cast("double") / F.count("*")).alias("top3"), F.count("*").alias("n"))
 
 

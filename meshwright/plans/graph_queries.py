@@ -172,16 +172,24 @@ def layering_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(F.substring_index("id", ":", 1).alias("kind"), "layer").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {EDGES_SQL} SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 16) AS fingerprint, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT src || '|' || dst || '|' || relation AS line FROM edges WHERE relation IN ('depends_on', 'in_nation'))""")
+@query(f"""WITH {EDGES_SQL}, hashed AS (SELECT sha256(src || '|' || dst || '|' || relation) AS h FROM edges), parts AS (SELECT substr(h, 1, 4) AS part, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM hashed GROUP BY 1)
+SELECT substr(sha256(string_agg(digest, '' ORDER BY part)), 1, 16) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM parts""")
 def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted edge strings hashed; of the structural edges, whose number does not grow with orders."""
-    e = edges(spark, sf_dir).where(F.col("relation").isin("depends_on", "in_nation")).select(F.concat_ws("|", "src", "dst", "relation").alias("line"))
-    return e.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n").cast("binary"), 256), 1, 16).alias("fingerprint"), F.count("*").alias("n"))
+    """All edges hashed in a fixed order: sorted inside each of 65,536 ranges of their hash, then the ranges' digests."""
+    hashed = edges(spark, sf_dir).select(F.sha2(F.concat_ws("|", "src", "dst", "relation").cast("binary"), 256).alias("h"))
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("digest")
+    parts = hashed.groupBy(F.substring("h", 1, 4).alias("part")).agg(digest, F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
+    return parts.agg(F.substring(F.sha2(whole.cast("binary"), 256), 1, 16).alias("fingerprint"), F.sum("n").alias("n"))
 
 
-@query(f"""WITH {EDGES_SQL} SELECT relation, CAST(bit_xor(CAST(('0x' || substr(sha256(src || '|' || dst), 1, 15)) AS BIGINT)) AS BIGINT) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM edges GROUP BY relation""")
+#: A prime below 2 ** 61.
+_PRIME = 2305843009213693951
+
+
+@query(f"""WITH {EDGES_SQL} SELECT relation, CAST(sum(CAST(('0x' || substr(sha256(src || '|' || dst), 1, 15)) AS BIGINT)) % {_PRIME} AS BIGINT) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM edges GROUP BY relation""")
 def graph_fingerprint_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order-free fingerprint that combines map-side, for relations that grow with the input."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", "src", "dst").cast("binary"), 256), 1, 15), 16, 10).cast("bigint")
-    return edges(spark, sf_dir).groupBy("relation").agg(F.bit_xor(h).alias("fingerprint"), F.count("*").alias("n"))
+    """An order-free fingerprint that combines map-side: a sum of hashes, in which repeated edges count each time."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", "src", "dst").cast("binary"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    rest = (F.sum(h) % F.lit(_PRIME).cast("decimal(20,0)")).cast("bigint")
+    return edges(spark, sf_dir).groupBy("relation").agg(rest.alias("fingerprint"), F.count("*").alias("n"))

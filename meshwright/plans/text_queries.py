@@ -245,8 +245,13 @@ def module_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.groupBy("doc_id").agg(F.substring(F.min_by("line", "line_no"), 1, 140).alias("value"))
 
 
-@query("SELECT doc_id, list_count(list_distinct(string_split(substr(text, 1, 200), ' '))) AS n_distinct, string_split(text, ' ')[1] AS first_word FROM documents WHERE text <> ''")
+@query("""
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents WHERE text <> ''), d AS (SELECT doc_id, word, min(pos) AS pos FROM w GROUP BY ALL)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_distinct, arg_min(word, pos) AS first_word, arg_max(word, pos) AS last_new_word, md5(string_agg(word, ' ' ORDER BY pos)) AS words_md5 FROM d GROUP BY doc_id""")
 def ordered_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct words of a text's head in order of first use."""
-    words = F.array_distinct(F.split(F.substring("text", 1, 200), " "))
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(words).cast("bigint").alias("n_distinct"), F.split("text", " ")[0].alias("first_word"))
+    """Distinct words of a whole text in order of first use: their number, the first, the last new one, and a digest of all."""
+    words = F.array_distinct(F.split("text", " "))
+    rows = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", words.alias("words"))
+    return rows.select(
+        "doc_id", F.size("words").cast("bigint").alias("n_distinct"), F.col("words")[0].alias("first_word"), F.element_at("words", -1).alias("last_new_word"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5")
+    )
