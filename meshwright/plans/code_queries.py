@@ -1,4 +1,4 @@
-"""Code-graph queries over an embedded repository: extraction and resolution SQL cannot express."""
+"""Code-graph queries over an embedded repository: extraction and resolution, held against rows read off its texts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..operators import code_graph as C
 from ..operators import graph as G
 from ..operators.layout import layout
 from ..sources.files import files_from_texts
+from . import sample_expected as E
 from .registry import query
 from .sample_repository import FILES
 
@@ -17,22 +18,22 @@ def _scan(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return scan_files(files_from_texts(spark, FILES))
 
 
-@query()
+@query(E.EVIDENCE_SQL)
 def code_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark)[0].select("identity", "kind", "subtype", "file", "line", "tier", "confidence", "qualname", "signature")
 
 
-@query()
+@query(E.RAW_SQL)
 def code_raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark)[1].select("src", "dst", "relation", "kind", "file", "line", F.array_join("chain", ".").alias("chain"))
 
 
-@query()
+@query(E.ERRORS_SQL)
 def code_scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark)[2]
 
 
-@query()
+@query(E.RESOLVED_SQL)
 def code_resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence, raw, _ = _scan(spark)
     nodes, edges = C.resolve(evidence, raw)
@@ -40,7 +41,7 @@ def code_resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(C.containment(nodes))
 
 
-@query()
+@query(E.UNRESOLVED_SQL)
 def code_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence, raw, _ = _scan(spark)
     _, edges = C.resolve(evidence, raw)
@@ -48,7 +49,7 @@ def code_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("src").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("dst")), ", ").alias("names"))
 
 
-@query()
+@query(E.LINKS_SQL)
 def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence, raw, _ = _scan(spark)
     nodes, edges = C.resolve(evidence, raw)
@@ -62,6 +63,6 @@ def code_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout(ids, links.select("src", "dst"))
 
 
-@query()
+@query(E.DEGREE_SQL)
 def code_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degree(code_links(spark, sf_dir))
