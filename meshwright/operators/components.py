@@ -3,7 +3,7 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round
 is one partial aggregate and one join, so a hub's neighbours are never gathered
 in one task: the minimum is combined map-side and AQE can split the join. Before the first
-round every partition replaces its edges by a spanning forest of them.
+round every partition replaces its edges by a spanning forest of them, twice.
 """
 
 from __future__ import annotations
@@ -68,12 +68,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     kind = ends.schema["a"].dataType.simpleString()
-    ends = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # in a fixed order, so that a task that runs again thins alike
-    ends = materialize(ends.sortWithinPartitions("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}").distinct(), "cc")
-    loops = ends.where("a = b").select("a")
+
+    def thinned(rows: DataFrame) -> DataFrame:
+        # in a fixed order, so that a task that runs again thins alike
+        return rows.sortWithinPartitions("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}")
+
+    def state_of(rows: DataFrame):
+        hashed = F.xxhash64("a", "b")
+        return rows.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first()
+
+    ends = thinned(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
+    # once more after the shuffle: what is small lies in few partitions then
+    ends = materialize(thinned(ends), "cc")
+    loops = ends.where("a = b").select("a").distinct()
     cur = ends.where("a <> b")
-    last, state = None, None
+    last, state = None, state_of(cur)
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -84,8 +93,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             moved.select("a", F.col("low").alias("b"))
         )
         nxt = materialize(small.where("a <> b").distinct(), "cc")
-        hashed = F.xxhash64("a", "b")
-        now = nxt.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first()
+        now = state_of(nxt)
         discard(last)
         cur = last = nxt
         if now == state:
