@@ -1,4 +1,4 @@
-"""Command line: scan, slice, diagram, context, find, show, trace, map."""
+"""Command line: scan, slice, diagram, context, find, show, trace, map, serve."""
 
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ from .repository import PACK, Repository, file_name
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="meshwright")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "slice", "diagram", "context", "find", "show", "trace", "map"):
+    for name in ("scan", "slice", "diagram", "context", "find", "show", "trace", "map", "serve"):
         c = sub.add_parser(name)
         c.add_argument("--repo", default=os.environ.get("MESHWRIGHT_REPO", "."))
         if name == "map":
             c.add_argument("query", nargs="?", default="")
-        elif name != "scan":
+        elif name not in ("scan", "serve"):
             c.add_argument("query")
         if name in ("slice", "diagram"):
             c.add_argument("--max-nodes", type=int, default=60)
@@ -36,6 +36,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def cache_folder() -> str | None:
+    """Where scans are cached: MESHWRIGHT_CACHE (empty: nowhere), else a folder of the user's caches."""
+    own = os.environ.get("MESHWRIGHT_CACHE")
+    if own is not None:
+        return "file://" + os.path.abspath(own) if own else None
+    return "file://" + os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "meshwright", "scan")
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 for an answer, 1 for none or several meanings, 2 for a bad call."""
     args = parser().parse_args(argv)
@@ -43,7 +51,13 @@ def main(argv: list[str] | None = None) -> int:
         print(f"not a folder: {args.repo}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
-    repo = Repository(spark, os.path.abspath(args.repo))
+    cache = cache_folder()
+    if args.command == "serve":
+        from .server import Server
+
+        Server(spark, args.repo, cache).serve()
+        return 0
+    repo = Repository(spark, os.path.abspath(args.repo), cache=cache)
     if args.command == "scan":
         print("\n".join(f"{k}: {v}" for k, v in repo.scan().items()))
         return 0

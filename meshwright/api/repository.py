@@ -18,6 +18,7 @@ from ..operators import code_graph as C
 from ..operators import graph as G
 from ..operators import search as S
 from ..operators.cache import diff
+from ..operators.components import connected_components
 from ..operators.storage import materialize
 from ..sources.files import files_from_texts, repository_files
 from ..sources.lines import lines
@@ -27,6 +28,13 @@ SHOW, MAP, FIND, TRACE, PACK = 2000, 1500, 400, 800, 6000
 CALLERS, CALLEES, USAGES, PHRASES, CANDIDATES, TINY_LINES, SNIPPET_LINES = 12, 30, 15, 5, 10, 3, 80
 #: Symbols of one comma-separated call of show.
 MULTI = 4
+#: A module of so many lines is shown whole; names of each kind in an outline; levels of overriding.
+MODULE_LINES, OUTLINE_NAMES, OVERRIDE_LEVELS, OVERRIDES = 120, 8, 4, 10
+#: Methods of built-in values: a call of one of these on something else says nothing about the repository.
+BUILT_IN_METHODS = frozenset(m for t in (str, bytes, list, dict, set, int, float) for m in dir(t) if not m.startswith("_"))
+#: A decorator that makes a route: its receiver, verb and path; a router with a prefix.
+ROUTE = r"^@?([\w.]+)\.(get|post|put|patch|delete|head|options|route|api_route)\(\s*['\"]([^'\"]*)"
+ROUTER = r"^(\w+)\s*=\s*[\w.]*(?:Router|Blueprint)\(.*?\b(?:url_)?prefix\s*=\s*['\"]([^'\"]*)"
 LADDER = [(12, 25), (8, 20), (6, 15), (4, 12), (3, 10), (2, 8), (1, 6), (1, 3)]
 #: Functions come before classes, those before modules.
 _KIND_ORDER = "case kind when 'function' then 0 when 'class' then 1 else 2 end"
@@ -52,10 +60,10 @@ def fit(parts: list[str], budget: int) -> str:
 class Repository:
     """Tables of one repository snapshot; each is computed when first asked for."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, texts: dict[str, str] | None = None, extractors: list[Extractor] | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, texts: dict[str, str] | None = None, extractors: list[Extractor] | None = None, cache: str | None = None) -> None:
         if (root is None) == (texts is None):
             raise ValueError("give a folder or texts")
-        self.spark, self.root, self.texts, self.extractors = spark, root, texts, extractors
+        self.spark, self.root, self.texts, self.extractors, self.cache = spark, root, texts, extractors, cache
 
     @cached_property
     def files(self) -> DataFrame:
@@ -64,7 +72,7 @@ class Repository:
 
     @cached_property
     def scanned(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return scan_files(self.files, self.extractors)
+        return scan_files(self.files, self.extractors, self.cache)
 
     @cached_property
     def resolved(self) -> tuple[DataFrame, DataFrame]:
@@ -97,10 +105,41 @@ class Repository:
         own = self.edges.where("target is not null").select("src", F.col("target").alias("dst"), F.col("relation_name").alias("relation"), "file", "line")
         return materialize(own.unionByName(C.containment(self.nodes)), "graph")
 
+    @cached_property
+    def components(self) -> DataFrame:
+        """(node, component) of the graph, edges taken both ways."""
+        return materialize(connected_components(self.graph), "components")
+
     @cached_property
     def lines(self) -> DataFrame:
         return lines(self.files, "rel_path", "text")
 
+    @cached_property
+    def routes(self) -> DataFrame:
+        """(id, method, path) of route handlers, the router's prefix included; a route of any verb is ANY."""
+        d = F.explode("decorators").alias("d")
+        at = self.symbols.where("decorators is not null").select("id", "file", d).where(F.col("d").rlike(ROUTE))
+        part = lambda i: F.regexp_extract("d", ROUTE, i)
+        at = at.select("id", "file", part(1).alias("router"), part(2).alias("verb"), part(3).alias("own"))
+        prefix = self.lines.where(F.col("line").rlike(ROUTER)).select(F.col("rel_path").alias("file"), F.regexp_extract("line", ROUTER, 1).alias("router"), F.regexp_extract("line", ROUTER, 2).alias("prefix"))
+        method = F.when(F.col("verb").isin("route", "api_route"), "ANY").otherwise(F.upper("verb"))
+        found = at.join(prefix, ["file", "router"], "left").groupBy("id").agg(F.min(F.struct(method.alias("method"), F.concat(F.coalesce("prefix", F.lit("")), "own").alias("path"))).alias("r"))
+        return materialize(found.select("id", "r.*"), "routes")
+
+    @cached_property
+    def inheritance(self) -> DataFrame:
+        """(node, ancestor, depth) of classes, a few levels deep."""
+        return materialize(G.closure(self.links.where("relation = 'inherits'"), OVERRIDE_LEVELS), "inheritance")
+
+    def overrides(self, symbol) -> tuple[list[str], list[str]]:
+        """Members of the same name in a method's base classes, nearest first, and in its subclasses."""
+        def named(own: str, other: str, most: int) -> list[str]:
+            classes = self.inheritance.where(F.col(own) == symbol.parent).select(F.col(other).alias("parent"), "depth")
+            got = self.symbols.where((F.col("name") == symbol.name) & (F.col("kind") == "function")).join(classes, "parent")
+            return [r.id for r in got.orderBy("depth", "id").select("id").limit(most).collect()]
+
+        return named("node", "ancestor", 1), named("ancestor", "node", OVERRIDES)
+
     def changed_since(self, old: Repository) -> DataFrame:
         """(rel_path, status) against an older snapshot."""
         return diff(old.files, self.files, "rel_path", "text").where("status <> 'same'")
@@ -192,7 +231,14 @@ class Repository:
         if status != "ok":
             return status + "".join(f"\n  {i}" for i in ids)
         s = self.symbols.where(F.col("id") == ids[0]).first()
+        if s.kind == "module":
+            return self.show_module(s, detail, budget)
         out = [f"{s.id}  {s.kind}  {s.file}:{s.line}-{s.end_line}", *(s.decorators or []), *filter(None, [s.signature, s.doc])]
+        route = self.routes.where(F.col("id") == s.id).first() if s.decorators else None
+        out += [f"route: {route.method} {route.path}"] if route else []
+        if s.kind == "function" and s.parent and ":" in s.parent:
+            above, under = self.overrides(s)
+            out += [f"overrides {i}" for i in above] + ["overridden by " + ", ".join(under)] * bool(under)
         if detail == "signature":
             return fit(out, budget)
         pairs = [("calls", "src", "dst", CALLEES), ("called by", "dst", "src", CALLERS)]
@@ -200,11 +246,15 @@ class Repository:
             rows = self.links.where(F.col(own) == s.id).orderBy(other, "relation")
             shown, total = rows.limit(most).collect(), rows.count()
             out += [f"{title} ({total}):"] * bool(total) + [f"  {r[other]}" + (f" [{r.relation}]" if r.relation != "call" else "") + f" line {r.line} x{r.n}" for r in shown]
+            if not total and title == "called by" and s.kind == "function":
+                out.append("called by nothing here: " + ("its route calls it" if route else "an entry point, or called from outside"))
+            if total > most:
+                out.append(f"  ... {total - most} more")
         if s.kind != "function":
             members = self.symbols.where(F.col("parent") == s.id).orderBy("line").select("name", short_signature(F.col("signature"), F.lit(None).cast("string")).alias("sig")).limit(60).collect()
             out += ["members:"] * bool(members) + [f"  {m.sig or m.name}" for m in members]
-        missing = self.edges.where((F.col("src") == s.id) & F.col("target").isNull() & F.col("kind").isNull()).select("dst").distinct().orderBy("dst").limit(6).collect()
-        out += ["not resolved: " + ", ".join(r.dst for r in missing)] * bool(missing)
+        inside, others = self.unresolved(s.id)
+        out += ["not resolved, maybe of this repository: " + ", ".join(inside[:6])] * bool(inside) + [f"not resolved: {others} names from outside"] * bool(others)
         body = self.source(s.file, s.line, s.end_line)
         out += ["a stub: its body is one trivial line"] * (s.kind == "function" and self.is_stub(body))
         tiny = self.links.where((F.col("src") == s.id) & (F.col("relation") == "call")).join(self.symbols.select(F.col("id").alias("dst"), "kind", "file", F.col("line").alias("first"), F.col("end_line").alias("last")), "dst")
@@ -215,6 +265,33 @@ class Repository:
             out += [f"{r.dst} calls {after}"] * bool(after)
         return fit(out + body if detail == "full" else out, budget)
 
+    def unresolved(self, id_: str) -> tuple[list[str], int]:
+        """Open calls of a symbol that name something of the repository, and the number of the others."""
+        names = self.symbols.select(F.col("name").alias("last")).distinct().withColumn("here", F.lit(True))
+        calls = self.edges.where((F.col("src") == id_) & F.col("target").isNull() & F.col("kind").isNull() & ~F.coalesce("relation", F.lit("")).isin("references", "built_by"))
+        calls = calls.select("dst", F.substring_index("dst", ".", -1).alias("last")).distinct().join(names, "last", "left")
+        bare = ~F.contains("dst", F.lit("."))
+        rows = calls.select("dst", (F.coalesce("here", F.lit(False)) & (bare | ~F.col("last").isin(*sorted(BUILT_IN_METHODS)))).alias("inside")).orderBy("dst").collect()
+        return [r.dst for r in rows if r.inside], sum(not r.inside for r in rows)
+
+    def show_module(self, s, detail: str, budget: int) -> str:
+        """A module: its source if short, else its definitions with their members, who uses it, what its top level calls."""
+        out = [f"{s.id}  module  {s.file}:1-{s.end_line}", *filter(None, [s.doc])]
+        if detail == "signature":
+            return fit(out, budget)
+        if detail == "full" and s.end_line <= MODULE_LINES:
+            return fit(out + self.source(s.file, 1, s.end_line), budget)
+        own = self.symbols.where((F.col("file") == s.file) & (F.col("kind") != "module") & (F.size(F.split("qualname", "[.]")) <= 2))
+        for r in own.orderBy("line").select("qualname", "line", "kind", "signature").limit(4 * MODULE_LINES).collect():
+            out.append(("    " if "." in r.qualname else "  ") + f"{r.line}: {r.signature or r.qualname}")
+        ends = self.symbols.select(F.col("id").alias("src"), F.col("file").alias("src_file"))
+        here = self.symbols.where(F.col("file") == s.file).select(F.col("id").alias("dst"))
+        used = self.links.join(here, "dst", "left_semi").join(ends, "src").where(F.col("src_file") != s.file).select("src_file").distinct().orderBy("src_file").limit(OUTLINE_NAMES).collect()
+        out += ["used by: " + ", ".join(r.src_file for r in used)] * bool(used)
+        top = self.links.where(F.col("src") == s.id).select("dst").distinct().orderBy("dst").limit(OUTLINE_NAMES).collect()
+        out += ["calls: " + ", ".join(r.dst for r in top)] * bool(top)
+        return fit(out, budget)
+
     # trace
 
     def trace(self, start: str, goal: str | None = None, up: bool = False, depth: int = 3) -> str:
@@ -227,7 +304,11 @@ class Repository:
             if status != "ok":
                 return status
             found = G.paths(links, self.spark.createDataFrame([(ids[0],)], "id string"), F.col("node") == ends[0], 8, 3)
-            return fit([r.path.replace(">", " -> ") for r in found.orderBy("hops", "path").collect()] or ["no path"], TRACE)
+            out = []
+            for r in found.orderBy("hops", "path").collect():
+                hops = r.path.split(">")
+                out += [" -> ".join(hops), *(self.hop(a, b) for a, b in zip(hops, hops[1:], strict=False))]
+            return fit(out or ["no path"], TRACE)
         if up:
             links = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         near = G.levels_down(links, self.spark.createDataFrame([(ids[0],)], "id string"), min(max(depth, 1), 6))
@@ -248,6 +329,11 @@ class Repository:
         walk(ids[0], 0)
         return fit(out, TRACE)
 
+    def hop(self, a: str, b: str) -> str:
+        """How one symbol leads to the next: relation and line."""
+        r = self.links.where((F.col("src") == a) & (F.col("dst") == b) & (F.col("relation") != "inherits")).orderBy(F.col("relation") != "call", "relation").first()
+        return f"    {a} {'calls' if r.relation == 'call' else r.relation} {b} at line {r.line}"
+
     # map
 
     def map(self, prefix: str = "") -> str:
@@ -255,7 +341,8 @@ class Repository:
         deg = self.symbols.join(G.degree(self.links), "id", "left").fillna(0, ["degree"])
         if prefix:
             deg = deg.where((F.col("file") == prefix) | F.col("file").startswith(prefix.rstrip("/") + "/"))
-        route = F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: d.rlike("\\.(get|post|put|delete|patch|route|api_route)\\("))
+        deg = deg.join(self.routes, "id", "left")
+        route = F.col("method").isNotNull()
         score = F.col("degree") + F.when(route, 5).otherwise(0) + F.when(F.col("doc").isNotNull(), 2).otherwise(0)
         files = deg.groupBy("file").agg(F.sum("degree").alias("total"), F.count("*").alias("n")).orderBy(F.desc("total"), "file").limit(max(m for _, m in LADDER))
         best = max(p for p, _ in LADDER)
@@ -267,7 +354,7 @@ class Repository:
             by.setdefault(r.file, []).append(r)
         top = files.collect()
         for per_file, most in LADDER:
-            text = "\n".join(f"{f.file} ({f.n})\n" + "\n".join(f"  {r.qualname}" for r in by.get(f.file, [])[:per_file]) for f in top[:most])
+            text = "\n".join(f"{f.file} ({f.n})\n" + "\n".join(f"  {r.qualname}" + (f" [{r.method} {r.path}]" if r.method else "") for r in by.get(f.file, [])[:per_file]) for f in top[:most])
             if tokens_of(text) <= MAP:
                 return text
         return "\n".join(sorted({f.file.rpartition("/")[0] or "." for f in top}))
@@ -283,10 +370,7 @@ class Repository:
         top = ranked.collect() if ranked is not None else []
         if not top:
             return {"status": "no_match"}
-        from ..operators.components import connected_components
-
-        comp = connected_components(self.graph)
-        which = {r.node: r.component for r in comp.where(F.col("node").isin([r.id for r in top])).collect()}
+        which = {r.node: r.component for r in self.components.where(F.col("node").isin([r.id for r in top])).collect()}
         groups: dict[str, list] = {}
         for r in top:
             groups.setdefault(which.get(r.id, r.id), []).append(r)
@@ -312,7 +396,10 @@ class Repository:
         rows = got["nodes"].join(self.symbols, "id").where("kind <> 'module'").orderBy("rank").collect()
         out, used, rest = [f"# {query}"], tokens_of(query) + 8, []
         for r in rows:
-            text = "\n".join([f"## {r.id} ({r.file}:{r.line})", *self.source(r.file, r.line, min(r.end_line, r.line + SNIPPET_LINES - 1))])
+            # a class ends before the first definition in it that has a snippet of its own
+            nested = [x.line for x in rows if x.file == r.file and r.line < x.line <= r.end_line and x.id.startswith(r.id + ".")]
+            last = min([r.end_line, r.line + SNIPPET_LINES - 1] + ([min(nested) - 1] if r.kind == "class" and nested else []))
+            text = "\n".join([f"## {r.id} ({r.file}:{r.line})", *self.source(r.file, r.line, last)])
             if used + tokens_of(text) <= budget * 3 // 4:
                 out.append(text)
                 used += tokens_of(text)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.cache import cache_key, cached_rows, flush, missing, used_only
+from ..operators.storage import materialize
 from . import infrastructure, python_code, rules as rule_set, typescript_code
 from .records import EDGE_SCHEMA, NODE_SCHEMA, Edge, Node
 
@@ -24,6 +26,11 @@ def _base(path: str) -> str:
     return os.path.basename(path)
 
 
+def below(path: str, *folders: str) -> bool:
+    """Whether a file lies in a folder of one of these names, at any depth."""
+    return not set(folders).isdisjoint(path.split("/")[:-1])
+
+
 def is_dockerfile(path: str) -> bool:
     name = _base(path)
     return name == "Dockerfile" or name.startswith("Dockerfile.") or name.lower().endswith(".dockerfile")
@@ -33,10 +40,10 @@ def default_extractors(catalogue: str = rule_set.CATALOGUE) -> list[Extractor]:
     """Infrastructure first, then rules, then code: the first evidence of a node decides its kind."""
     rules = rule_set.load_rules(catalogue)
     return [
-        ("terraform@1", lambda p: p.endswith(".tf"), infrastructure.terraform),
+        ("terraform@1", lambda p: p.endswith(".tf") and not below(p, ".terraform"), infrastructure.terraform),
         ("compose@1", lambda p: bool(_COMPOSE.fullmatch(_base(p))), infrastructure.compose),
         ("dockerfile@1", is_dockerfile, infrastructure.dockerfile),
-        ("kubernetes@1", lambda p: p.lower().endswith((".yaml", ".yml")) and not _COMPOSE.fullmatch(_base(p)), infrastructure.kubernetes),
+        ("kubernetes@1", lambda p: p.lower().endswith((".yaml", ".yml")) and not _COMPOSE.fullmatch(_base(p)) and not below(p, "charts", "templates"), infrastructure.kubernetes),
         ("rules@1", lambda p: os.path.splitext(p)[1] in rule_set.LANGUAGES, lambda p, t: (rule_set.scan(p, t, rules), [])),
         (python_code.VERSION, lambda p: p.endswith(".py"), python_code.extract),
         (typescript_code.VERSION, lambda p: p.lower().endswith((".ts", ".tsx")), typescript_code.extract),
@@ -66,9 +73,12 @@ def _struct(schema: str) -> StructType:
     return StructType.fromDDL(schema + ", ord int, seq int")
 
 
-def scan_files(files: DataFrame, extractors: list[Extractor] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_files(files: DataFrame, extractors: list[Extractor] | None = None, cache: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evidence, raw edges, scan errors) of files (rel_path, text).
 
+    With ``cache``, a folder, only files whose place and content no earlier scan by the same
+    extractors has seen are worked on; rows that this scan does not use leave the cache.
+
     A file that an extractor cannot parse gives an error row and, of code, its module node;
     the scan goes on. ``ord`` and ``seq`` order the evidence of a node.
     """
@@ -106,10 +116,18 @@ def scan_files(files: DataFrame, extractors: list[Extractor] | None = None) -> t
         f"rel_path string, nodes array<{_struct(NODE_SCHEMA).simpleString()}>, edges array<{_struct(EDGE_SCHEMA).simpleString()}>, "
         "errors array<struct<extractor:string,problem:string>>"
     )
-    scanned = files.select("rel_path", "text").mapInArrow(run, schema)
-    from ..operators.storage import materialize
-
-    scanned = materialize(scanned, "scan")  # three relations come from one pass
+    keyed = files.select("rel_path", "text", cache_key(",".join(name for name, _, _ in use), F.col("rel_path"), F.coalesce("text", F.lit(""))).alias("key"))
+    known = cached_rows(files.sparkSession, cache) if cache else None
+    todo = keyed if known is None else missing(keyed, known, "key")
+    # three relations come from one pass
+    scanned = materialize(todo.select("rel_path", "text").mapInArrow(run, schema), "scan")
+    if cache:
+        rows = scanned.join(keyed.select("rel_path", "key"), "rel_path")
+        if known is not None:
+            rows = rows.unionByName(used_only(known, keyed, "key"))
+        scanned = materialize(rows, "scan")
+        if known is None or not todo.isEmpty() or known.count() != keyed.count():
+            flush(scanned, cache)
     evidence = scanned.select(F.explode("nodes").alias("n")).select("n.*")
     raw = scanned.select(F.explode("edges").alias("e")).select("e.*")
     problems = scanned.select("rel_path", F.explode("errors").alias("x")).select("rel_path", "x.*")

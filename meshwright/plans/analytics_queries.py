@@ -173,3 +173,38 @@ def context_pack_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     trail = items.select(F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select("x.*").where("full_text")
     return trail.join(got.select(F.explode("taken").alias("doc_id")), "doc_id", "left_semi")
+
+
+@query("""
+WITH a AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), b AS (SELECT conv_id, turn, md5(reverse(reverse(text))) AS h FROM conversations)
+SELECT CAST(count(*) FILTER (WHERE a.h = b.h) AS BIGINT) AS equal, CAST(count(*) AS BIGINT) AS n FROM a JOIN b USING (conv_id, turn)""")
+def outputs_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of two runs of the same calls, compared call by call."""
+    rows = table(spark, sf_dir, "conversations")
+    digest = lambda c: F.md5(c.cast("binary"))
+    one = rows.select("conv_id", "turn", digest(F.col("text")).alias("a"))
+    two = rows.select("conv_id", "turn", digest(F.reverse(F.reverse("text"))).alias("b"))
+    return one.join(two, ["conv_id", "turn"]).agg(F.count_if(F.col("a") == F.col("b")).alias("equal"), F.count("*").alias("n"))
+
+
+@query("""
+WITH runs AS (SELECT d.lang AS arm, d.source AS question, d.n_chars AS cost, l.quality = 1 AS correct FROM documents d JOIN labels l USING (doc_id)),
+arms AS (SELECT arm, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS quality, median(cost) AS cost FROM runs GROUP BY arm),
+won AS (SELECT arm, question, bool_or(correct) AS any_right FROM runs GROUP BY ALL), base AS (SELECT question FROM won WHERE arm = 'en' AND any_right),
+lost AS (SELECT a.arm, count(*) AS lost FROM arms a CROSS JOIN base b LEFT JOIN won w ON w.arm = a.arm AND w.question = b.question WHERE NOT coalesce(w.any_right, false) GROUP BY a.arm)
+SELECT a.arm, a.quality >= b.quality AND a.cost <= 0.7 * b.cost AND coalesce(l.lost, 0) = 0 AS passes, CAST(coalesce(l.lost, 0) AS BIGINT) AS lost
+FROM arms a JOIN arms b ON b.arm = 'en' LEFT JOIN lost l ON l.arm = a.arm""")
+def pass_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each arm (language) is as good as the base arm at 0.7 times its median cost, with no question lost."""
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("arm"), F.col("source").alias("question"), F.col("n_chars").alias("cost"))
+    runs = runs.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("correct")), "doc_id")
+    arms = runs.groupBy("arm").agg(F.avg(F.col("correct").cast("int")).alias("quality"), F.median("cost").alias("cost"))
+    won = runs.groupBy("arm", "question").agg(F.bool_or("correct").alias("any_right")).where("any_right")
+    base = arms.where("arm = 'en'").select(F.col("quality").alias("base_quality"), F.col("cost").alias("base_cost"))
+    # questions the base arm answered, less those the arm answered too: both are counted by question, not by run
+    wanted = won.where("arm = 'en'").select("question")
+    asked = wanted.agg(F.count("*").alias("asked"))
+    kept = won.join(wanted, "question", "left_semi").groupBy("arm").agg(F.count("*").alias("kept"))
+    lost = (F.col("asked") - F.coalesce("kept", F.lit(0))).alias("lost")
+    judged = arms.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(asked)).join(kept, "arm", "left").select("*", lost)  # one row each
+    return judged.select("arm", ((F.col("quality") >= F.col("base_quality")) & (F.col("cost") <= 0.7 * F.col("base_cost")) & (F.col("lost") == 0)).alias("passes"), "lost")

@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SKIPPED = frozenset("""
 .git node_modules vendor venv .venv __pycache__ dist build tests test __tests__ spec specs .claude
 """.split())
-#: More for two kinds of files.
-SKIPPED_TERRAFORM, SKIPPED_K8S = SKIPPED | {".terraform"}, SKIPPED | {"charts", "templates"}
 GIT_SECONDS = 60
 
 

@@ -179,3 +179,59 @@ def test_merge_takes_the_first_evidence(spark):
     e = spark.createDataFrame(rows, "identity string, kind string, ord int, file string, seq int, line int")
     got = C.merge_nodes(e).first()
     assert (got.kind, got.n_evidence) == ("service", 2)
+
+
+def test_modules_overrides_hops_and_routes(spark):
+    files = {
+        "api.py": "from x import APIRouter\nrouter = APIRouter(prefix='/v1')\n\n\n@router.get('/items')\ndef items():\n    return load()\n\n\ndef load():\n    return missing_one() + outside.call()\n",
+        "shapes.py": "class Shape:\n    def area(self):\n        return 0\n\n\nclass Square(Shape):\n    def area(self):\n        return 4\n",
+        "user.py": "from shapes import Square\n\n\ndef use():\n    return Square().area()\n\n\ndef missing_one_not():\n    pass\n",
+        ".terraform/x.tf": 'resource "aws_s3_bucket" "hidden" {}\n', "charts/x.yaml": "kind: Secret\nmetadata:\n  name: hidden\n",
+    }
+    repo = Repository(spark, texts=files)
+    assert "route: GET /v1/items" in repo.show("items") and "its route calls it" in repo.show("items")
+    assert "[GET /v1/items]" in repo.map()
+    assert "overrides shapes.py:Shape.area" in repo.show("Square.area") and "overridden by shapes.py:Square.area" in repo.show("Shape.area")
+    assert "class Shape" in repo.show("shapes.py", "outline") and "used by: user.py" in repo.show("shapes.py", "outline")
+    assert "    api.py:items calls api.py:load at line 7" in repo.trace("items", "load")
+    assert "hidden" not in str(repo.nodes.select("identity").collect())
+    assert repo.unresolved("api.py:load") == ([], 2)
+
+
+def test_cache_only_scans_what_changed(spark, tmp_path):
+    from meshwright.extract.scan import default_extractors
+    from meshwright.operators.cache import cached_rows
+
+    place = f"file://{tmp_path}/cache"
+    texts = {"a.py": "def f():\n    return g()\n\n\ndef g():\n    pass\n", "b.py": "x = 1\n"}
+    first = Repository(spark, texts=texts, cache=place)
+    want = sorted(map(tuple, first.links.collect()))
+
+    def refuse(path, text):
+        raise AssertionError(path)
+
+    # the same names and versions, so the same keys: only new contents reach the extractors
+    poisoned = [(name, applies, refuse) for name, applies, _ in default_extractors()]
+    again = Repository(spark, texts=texts | {"c.py": "y = 2\n"}, extractors=poisoned, cache=place)
+    assert sorted(map(tuple, again.links.collect())) == want
+    assert {r.rel_path for r in again.scanned[2].collect()} == {"c.py"}
+    assert {r.rel_path for r in cached_rows(spark, place).collect()} == {"a.py", "b.py", "c.py"}
+
+
+def test_server(spark, tmp_path):
+    import io
+    import json
+
+    from meshwright.api.server import TOOLS, Server
+
+    (tmp_path / "m.py").write_text("def start():\n    return helper()\n\n\ndef helper():\n    return 1\n")
+    calls = [("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "show", "arguments": {"symbol": "start"}}), ("tools/call", {"name": "slice", "arguments": {"repo_path": str(tmp_path), "query": "helper"}}), ("tools/call", {"name": "show", "arguments": {}}), ("nothing", {})]
+    lines = [json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) for i, (m, p) in enumerate(calls)] + [json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), "{"]
+    out = io.StringIO()
+    Server(spark, str(tmp_path)).serve(io.StringIO("\n".join(lines)), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == 7 and [t["name"] for t in got[1]["result"]["tools"]] == list(TOOLS)
+    assert "m.py:helper" in got[2]["result"]["content"][0]["text"]
+    sliced = json.loads(got[3]["result"]["content"][0]["text"])
+    assert sliced["status"] == "ok" and {"m.py:start", "m.py:helper"} <= {n["id"] for n in sliced["nodes"]} and sliced["edges"]
+    assert got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601 and got[6]["error"]["code"] == -32700

@@ -96,4 +96,5 @@ def test_cache_keeps_what_was_used(spark, tmp_path):
     path = str(tmp_path / "cache")
     cache.flush(cache.used_only(old, work, "key"), path)
     cache.flush(cache.used_only(old, work, "key"), path)
-    assert [r.key for r in spark.read.parquet(path).collect()] == ["b"]
+    assert [r.key for r in cache.cached_rows(spark, path).collect()] == ["b"] and cache.cached_rows(spark, path + "-none") is None
+    assert len([p for p in (tmp_path / "cache").iterdir() if p.name.startswith("v-") and p.is_dir()]) == 1
