@@ -42,8 +42,9 @@ from .wordhash import join_hashes, shingle_sets
 
 #: Coordinates of the tree's points; members of a bin; children of a node.
 GROUPS, BIN, FANOUT = 64, 2048, 16
-#: Bits that number the cells of the count sketch (uint32 each): fewest and most; rows in which it travels.
-LEAST_BITS, MOST_BITS, PIECES = 18, 22, 64
+#: Bits that number the cells of the count sketch (uint32 each); rows in which it travels. Every partition ships
+#: one, so more cells cost the shuffle more than they save in prefixes.
+SKETCH_BITS, PIECES = 18, 64
 #: A shingle in a cell of at most so many occurrences is cold: no more rows can have it, whatever the input.
 COLD = 1 << 16
 
@@ -247,11 +248,6 @@ def _link_bin(width: int, threshold: int):
     return run
 
 
-def sketch_bits(shingles: int) -> int:
-    """Cells grow with the corpus, about 64 occurrences in each, between the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, (max(1, shingles) // 64).bit_length()))
-
-
 def _cells(shingles: np.ndarray, bits: int) -> np.ndarray:
     return (shingles >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -280,18 +276,16 @@ def _add_cells(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def shingle_counts(docs: DataFrame, width: int = 5) -> np.ndarray:
-    """Occurrences of shingles over all documents in cells by hash: 1 to 16 MB whatever the input.
+    """Occurrences of shingles over all documents in cells by hash: 1 MB whatever the input.
 
     Partial sketches meet in two rounds, so no task adds up more than about the square root
     of the number of partitions.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(size // 6)
-    parts = docs.select("text").mapInArrow(_sketch(width, bits), "piece int, cells binary")
+    parts = docs.select("text").mapInArrow(_sketch(width, SKETCH_BITS), "piece int, cells binary")
     fan = max(1, math.isqrt(docs.sparkSession.sparkContext.defaultParallelism) * 4)
     once = parts.groupBy("piece", (F.spark_partition_id() % fan).alias("lane")).applyInPandas(_add_cells, "piece int, cells binary")
     rows = once.groupBy("piece").applyInPandas(_add_cells, "piece int, cells binary").collect()
-    out = np.zeros((PIECES, (1 << bits) // PIECES), np.uint32)
+    out = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.uint32)
     for r in rows:
         out[r.piece] = np.frombuffer(r.cells, np.uint32)
     return out.ravel()
