@@ -419,6 +419,20 @@ def test_toxicity(spark, empty):
     assert toxicity.rate_documents(empty, labels).collect() == []
 
 
+def test_kept_columns_give_way_and_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(7, "the house of the king", "en", 0.5, "x")] * 400 + [(k, "la maison du roi", "fr", 0.5, "y") for k in range(20)], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language_id.train(docs, language_id.F.lit(True))
+    got = language_id.predict_language(docs, model, docs.columns)
+    assert sorted(got.columns) == sorted([*docs.columns, "ambiguous"]) and got.count() == 420
+    assert {(r.lang, r.lang_pred) for r in got.select("lang", "lang_pred").distinct().collect()} == {("en", "en"), ("fr", "fr")}
+    from meshwright.llm.common import bounded_sample, sampled_texts
+
+    assert sampled_texts(docs, bounded_sample(docs, "lang", "doc_id", 512), with_label=True).count() == 21  # a repeated id counts once
+    field = quality_rules.ChainField(np.zeros((quality_rules.N_FEATURES, 2)), np.zeros((2, 2)))
+    kept = quality_rules.apply_quality_rules(docs.withColumnRenamed("score", "kept"), field, ["doc_id", "kept", "text"])
+    assert kept.schema["kept"].dataType.simpleString() == "boolean" and kept.where("text is null").isEmpty()
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
