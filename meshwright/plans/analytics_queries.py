@@ -134,14 +134,16 @@ def pack_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("lang").agg(F.round(F.median(F.col("whole").cast("double") / F.col("pack")), 9).alias("ratio"))
 
 
-@query("WITH want AS (SELECT DISTINCT lang, source FROM documents, (SELECT 1)), grid AS (SELECT l.lang, s.source, r.rep FROM (SELECT DISTINCT lang FROM documents) l, (SELECT DISTINCT source FROM documents) s, (SELECT unnest([0, 1, 2]) AS rep) r), done AS (SELECT DISTINCT lang, source, doc_id % 3 AS rep FROM documents WHERE doc_id < 100) SELECT lang, source, CAST(rep AS BIGINT) AS rep FROM grid WHERE (lang, source, rep) NOT IN (SELECT (lang, source, rep) FROM done)")
+@query("WITH want AS (SELECT DISTINCT lang, source FROM documents, (SELECT 1)), grid AS (SELECT l.lang, s.source, r.rep FROM (SELECT DISTINCT lang FROM documents) l, (SELECT DISTINCT source FROM documents) s, (SELECT unnest([0, 1, 2]) AS rep) r), done AS (SELECT lang, source, doc_id % 3 AS rep FROM documents GROUP BY ALL HAVING max(n_chars) * count(*) >= 4 * sum(n_chars)) SELECT lang, source, CAST(rep AS BIGINT) AS rep FROM grid WHERE (lang, source, rep) NOT IN (SELECT (lang, source, rep) FROM done)")
 def resumable_job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question x arm x repetition, less what is saved: a grid of small dimensions, then an anti join."""
     docs = table(spark, sf_dir, "documents")
     reps = F.explode(F.array(*(F.lit(r).cast("bigint") for r in range(3)))).alias("rep")
     arms = docs.agg(F.array_sort(F.collect_set("source")).alias("sources"))
     grid = docs.select("lang").distinct().crossJoin(F.broadcast(arms)).select("lang", F.explode("sources").alias("source")).select("lang", "source", reps)
-    done = docs.where("doc_id < 100").select("lang", "source", (F.col("doc_id") % 3).alias("rep")).distinct()
+    # as if saved: jobs whose longest document is four times the mean
+    jobs = docs.groupBy("lang", "source", (F.col("doc_id") % 3).alias("rep"))
+    done = jobs.agg((F.max("n_chars") * F.count("*") >= 4 * F.sum("n_chars")).alias("saved")).where("saved").drop("saved")
     return grid.join(done, ["lang", "source", "rep"], "left_anti")
 
 

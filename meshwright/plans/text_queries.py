@@ -173,15 +173,15 @@ def running_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE cand AS (SELECT doc_id, (length(text) + 3) // 4 AS cost, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 60),
-walk(r, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
-  SELECT c.r, CASE WHEN used + cost <= 6000 THEN used + cost ELSE used + 10 END, CASE WHEN used + cost <= 6000 THEN list_append(taken, doc_id) ELSE taken END FROM walk JOIN cand c ON c.r = walk.r + 1)
-SELECT CAST(used AS BIGINT) AS used, array_to_string(taken, ',') AS taken FROM walk ORDER BY r DESC LIMIT 1""")
+WITH RECURSIVE cand AS (SELECT doc_id // 60 AS block, doc_id, (length(text) + 3) // 4 AS cost, row_number() OVER (PARTITION BY doc_id // 60 ORDER BY doc_id) AS r FROM documents),
+walk(block, r, used, taken) AS (SELECT DISTINCT block, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM cand UNION ALL
+  SELECT c.block, c.r, CASE WHEN used + cost <= 6000 THEN used + cost ELSE used + 10 END, CASE WHEN used + cost <= 6000 THEN list_append(taken, doc_id) ELSE taken END FROM walk JOIN cand c ON c.block = walk.block AND c.r = walk.r + 1)
+SELECT CAST(block AS BIGINT) AS block, CAST(arg_max(used, r) AS BIGINT) AS used, array_to_string(arg_max(taken, r), ',') AS taken FROM walk GROUP BY block""")
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 documents packed into 6,000 tokens; a skipped one costs 10."""
-    cand = table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("cost")).orderBy("doc_id").limit(60)
-    got = B.greedy_pack(cand, [], ["doc_id"], "doc_id", "cost", 6000, 10)
-    return got.select("used", F.array_join(F.transform("taken", lambda x: x.cast("string")), ",").alias("taken"))
+    """Every 60 documents in a row packed into 6,000 tokens; a skipped one costs 10."""
+    cand = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 60).alias("block"), "doc_id", T.token_estimate(F.col("text")).alias("cost"))
+    got = B.greedy_pack(cand, ["block"], ["doc_id"], "doc_id", "cost", 6000, 10)
+    return got.select("block", "used", F.array_join(F.transform("taken", lambda x: x.cast("string")), ",").alias("taken"))
 
 
 LADDER = [(12, 25), (8, 20), (6, 15), (4, 12), (3, 10), (2, 8), (1, 6), (1, 3)]
