@@ -57,6 +57,23 @@ def test_shards(spark, odd, empty):
     assert sharding.shuffle_into_shards(empty).collect() == []
 
 
+def test_shards_of_repeated_rows(spark):
+    same = spark.range(6000).selectExpr("cast(null as bigint) as doc_id", "'over and over' as text", "id % 2 as mark", "map('a', id % 2) as more")
+    docs = same.unionByName(spark.range(500).selectExpr("id as doc_id", "concat('text ', id) as text", "id as mark", "map('a', id) as more"))
+    dealt = sharding.deal(docs, docs.columns, 20, bucket_bytes=20_000).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in dealt) == 6500 and len(dealt) == 20 and max(r["count"] for r in dealt) < 500
+    runs = []
+    for d in (docs, docs.repartition(7, "mark")):
+        rows = sharding.shuffle_into_shards(d, bucket_bytes=20_000).select("doc_id", "text", "mark", "shard", "slot").collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+        assert Counter(r.mark for r in rows if r.doc_id is None) == {0: 3000, 1: 3000}
+        runs.append(Counter(map(tuple, rows)))
+    assert runs[0] == runs[1]
+
+
 def test_shuffle_is_a_uniform_permutation():
     seen = Counter(tuple(sharding.fisher_yates(3, 1, b)) for b in range(6000))
     assert len(seen) == 6 and all(850 < n < 1150 for n in seen.values())
