@@ -11,8 +11,9 @@ and the sample is the (term, t) of least ln a. Two texts agree in a sample with
 sum of minima / sum of maxima of their weights. ln a and a hash of (term, t) travel in one
 long (the order of longs is the order of ln a), so a sample is a plain ``min``.
 
-The samples of a term depend on the term and its weight alone, so they are drawn once for
-all texts of a bucket that have the term equally often.
+What a sample draws for a term depends on the term alone and its ln a on the weight besides, so
+the former is drawn once for all texts of a bucket that have the term, and the latter made
+once for those that have it equally often.
 
 The share of equal samples has a standard error of sqrt(p (1 - p) / SAMPLES) at likeness p:
 with 64 samples at most 0.063, and 0.050 at 0.8.
@@ -37,18 +38,23 @@ def _unit(h: Column, shift: int) -> Column:
     return (bits.cast("double") + F.lit(1.0)) * F.lit(1.0 / (1 << 21))
 
 
-def packed_sample(term: Column, log_weight: Column, sample: int) -> Column:
-    """ln a (upper bits) and a hash of (term, t) (lower 32 bits) of one term in one sample."""
+def draws(term: Column, sample: int) -> dict[str, Column]:
+    """What a sample draws for a term, whatever its weight: r, b, ln c, and a hash of both."""
     h, g = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
     r = -F.log(_unit(h, 0) * _unit(h, 21))
-    r = F.greatest(r, F.lit(1e-6))  # so that t times _ODD stays a long
-    b = _unit(h, 42)
     log_c = F.log(-F.log(_unit(g, 0) * _unit(g, 21)) + F.lit(1e-12))
+    # r is not too small, so that t times _ODD stays a long
+    return {"r": F.greatest(r, F.lit(1e-6)), "b": _unit(h, 42), "c": log_c, "h": h}
+
+
+def packed_sample(drawn: dict[str, Column], log_weight: Column) -> Column:
+    """ln a (upper bits) and a hash of (term, t) (lower 32 bits) of one term in one sample."""
+    r, b = drawn["r"], drawn["b"]
     t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b) - r
+    log_a = drawn["c"] - r * (t - b) - r
     upper = F.floor((F.greatest(F.least(log_a, F.lit(float(_LEAST))), F.lit(-float(_LEAST))) + F.lit(float(_LEAST))) * F.lit(float(_SCALE)))
     # h is of term and sample; an odd product of t makes its low bits a hash of all three
-    lower = h.bitwiseXOR(t * F.lit(_ODD)).bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    lower = drawn["h"].bitwiseXOR(t * F.lit(_ODD)).bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
     return F.shiftleft(upper.cast("bigint"), _LOW_BITS).bitwiseOR(lower)
 
 
@@ -79,9 +85,15 @@ def sign_terms(texts: DataFrame, keys: list[str], samples: int = SAMPLES, within
     words = texts.select(*keys, F.explode(F.split("text", WORD_SPLIT)).alias("_word")).where("_word <> ''")
     terms = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_n"))
     shared = terms.groupBy(*own, "_term", "_n").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
-    drawn = F.array(*(packed_sample(F.col("_term"), F.log(F.col("_n").cast("double")), i) for i in range(samples)))
-    each = shared.select(*own, "_rows", drawn.alias("_drawn")).select(*own, F.explode("_rows").alias("_row"), "_drawn").select(*own, "_row.*", "_drawn")
-    return each.groupBy(*keys).agg(*(F.min(F.col("_drawn")[i]).alias(f"m{i}") for i in range(samples)))
+    # the draws, which take three logarithms each, are made once for a term, whatever its weights
+    by_term = shared.groupBy(*own, "_term").agg(F.collect_list(F.struct("_n", "_rows")).alias("_by_n"))
+    drawn = [draws(F.col("_term"), i) for i in range(samples)]
+    kept = by_term.select(*own, "_by_n", *(F.array(*(d[k] for d in drawn)).alias(f"_{k}") for k in "rbch"))
+    kept = kept.select(*own, F.explode("_by_n").alias("_at"), *(f"_{k}" for k in "rbch"))
+    log_weight = F.log(F.col("_at._n").cast("double"))
+    packed = F.array(*(packed_sample({k: F.col(f"_{k}")[i] for k in "rbch"}, log_weight) for i in range(samples)))
+    each = kept.select(*own, "_at._rows", packed.alias("_packed")).select(*own, F.explode("_rows").alias("_row"), "_packed").select(*own, "_row.*", "_packed")
+    return each.groupBy(*keys).agg(*(F.min(F.col("_packed")[i]).alias(f"m{i}") for i in range(samples)))
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
