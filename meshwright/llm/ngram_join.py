@@ -28,7 +28,7 @@ ones) grows with m * m / BIN rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,6 +176,17 @@ def bound_forest(points: list[np.ndarray], sizes: np.ndarray, blocks: np.ndarray
     return out
 
 
+def _then_release(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``work``, after which what it has freed goes back to the system: bins differ much in size."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = work(pdf)
+        release()
+        return out
+
+    return run
+
+
 def _bound_bin(threshold: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "tile", "node"], kind="stable")
@@ -183,7 +194,7 @@ def _bound_bin(threshold: int):
         got = bound_forest([load_point(p) for p in pdf["point"]], pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy(), pdf["tile"].to_numpy(), threshold, pdf["cell_a"].iat[0] != pdf["cell_b"].iat[0])
         return pd.DataFrame([(node[i], node[j]) for i, j in got], columns=["node", "root"]).astype("int64")
 
-    return run
+    return _then_release(run)
 
 
 def link_sets(sets: list[np.ndarray], tiles: np.ndarray, threshold: int, both: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -245,7 +256,7 @@ def _link_bin(width: int, threshold: int):
         rows = edges + list(zip(node[linked], node[linked], degree[linked], strict=True))
         return pd.DataFrame(rows, columns=["src", "dst", "links"]).astype("int64")
 
-    return run
+    return _then_release(run)
 
 
 def _cells(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -403,9 +414,10 @@ def _joined(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     places = max(1, 2 * blocks.count() // BIN)
     met = _dealt(blocks, "block", places).join(first.select("node", "n_shingles", "point"), "node")
     met = met.select("node", "block", "tile", "n_shingles", "point", F.explode("cells").alias("cell")).select("node", "block", "tile", "n_shingles", "point", "cell.*")
-    near = met.groupBy("place", "cell_a", "cell_b").applyInPandas(_bound_bin(threshold), "node bigint, root bigint")
-    near = connected_components(near, "node", "root")
-    groups = materialize(near, "groups")
+    # written first: components begin in Python too, and a task with both would hold two workers
+    near = materialize(met.groupBy("place", "cell_a", "cell_b").applyInPandas(_bound_bin(threshold), "node bigint, root bigint"), "near")
+    groups = materialize(connected_components(near, "node", "root"), "groups")
+    discard(near)
     discard(blocks)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     dealt = _dealt(groups.join(sizes, "component"), "component", max(1, 2 * groups.count() // BIN))

@@ -7,12 +7,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from meshwright.llm import language_id, quality_rules, queries, tokens, toxicity, wordhash
+from meshwright.llm import language_id, ngram_join, quality_rules, queries, tokens, toxicity, wordhash
 from meshwright.llm.common import fold
+from meshwright.operators import components
 
 MASK = (1 << 64) - 1
 _cache: dict = {}
@@ -223,3 +225,60 @@ def test_stages_on_odd_and_empty_tables(spark, small):
             assert name == "packing" or out.columns == table.columns
             n = out.count()
             assert (n == 0) == table.isEmpty() or name in ("quality rules", "language ID")
+
+
+def python_nodes_of_tasks(df):
+    """For each place where tasks of a DataFrame's plan end: the Python nodes that one of them runs at once."""
+    found = []
+
+    def walk(node, names):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan(), names)
+        if "Exchange" in name:
+            names = []
+            found.append(names)
+        if re.search("MapIn|FlatMapGroups|FlatMapCoGroups|EvalPython", name):
+            names.append(name)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), names)
+
+    found.append([])
+    walk(df._jdf.queryExecution().executedPlan(), found[0])
+    return found
+
+
+def test_a_task_of_the_pipeline_holds_one_python_worker(spark, small, monkeypatch):
+    """Two Python nodes in a task take two workers a core, and those stay for the stages to come."""
+    seen = []
+
+    def watch(owner, name):
+        do = getattr(owner, name)
+
+        def watched(df, *args, **kwargs):
+            seen.extend(python_nodes_of_tasks(df))
+            return do(df, *args, **kwargs)
+
+        monkeypatch.setattr(owner, name, watched)
+
+    for module in (corpus_pipeline, ngram_join, components):
+        watch(module, "materialize")
+    watch(type(spark.range(1)), "collect")
+    assert corpus_pipeline.run(spark, small).count()
+    assert sum(map(len, seen)) >= 8
+    assert [names for names in seen if len(names) > 1] == []
+
+
+def test_bins_give_freed_memory_back(spark, monkeypatch):
+    given_back = []
+    monkeypatch.setattr(ngram_join, "release", lambda: given_back.append(1))
+    texts = [" ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41))]
+    sets = [wordhash.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    node = [ngram_join.set_key(s) for s in sets]
+    place = {"node": node, "tile": [0, 0], "cell_a": [-1, -1], "cell_b": [-1, -1]}
+    linked = ngram_join._link_bin(5, 80)(pd.DataFrame(place | {"text": texts, "class_size": [1, 1]}))
+    points = [ngram_join.count_point(s, 64).astype("<u2").tobytes() for s in sets]
+    near = ngram_join._bound_bin(80)(pd.DataFrame(place | {"block": [7, 7], "n_shingles": [len(s) for s in sets], "point": points}))
+    assert sorted(linked[linked.src == linked.dst].links) == [1, 1] and len(near) == 1
+    assert len(given_back) == 2
